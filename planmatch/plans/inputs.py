@@ -24,6 +24,9 @@ SEGMENT_TYPES = {
 LABELS = ("p_brand", "p_size", "p_retailprice", "p_type", "delivery")
 
 
+CATALOG_COLUMNS = ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
