@@ -49,25 +49,20 @@ def chunk_static(
     return _exploded(pinned, windows, [doc])
 
 
-def _shifted(items: Column, offset: int, filler: Column) -> Column:
-    """The array moved so that place i holds item i+offset; `filler` beyond the ends."""
-    n = F.size(items)
-    if offset >= 0:
-        kept = F.slice(items, F.lit(offset + 1), n)
-        return F.concat(kept, F.array_repeat(filler, F.least(n, F.lit(offset))))
-    kept = F.slice(items, F.lit(1), F.greatest(n + offset, F.lit(0)))
-    return F.concat(F.array_repeat(filler, F.least(n, F.lit(-offset))), kept)
-
-
 def jaccard_distances(groups: Column) -> Column:
     """1 - Jaccard of neighbouring word sets; two empty sets are alike."""
-
-    def distance(a: Column, b: Column) -> Column:
-        common = F.size(F.array_intersect(a, b))
-        either = F.size(a) + F.size(b) - common
-        return F.when(either > 0, 1 - common / either).otherwise(F.lit(0.0))
-
-    return _between_neighbours(groups, distance)
+    sizes = _between_neighbours(
+        groups,
+        lambda a, b: F.struct(
+            F.size(F.array_intersect(a, b)).alias("common"), (F.size(a) + F.size(b)).alias("both")
+        ),
+    )
+    return F.transform(
+        sizes,
+        lambda s: F.when(
+            s["both"] > 0, 1 - s["common"] / (s["both"] - s["common"])
+        ).otherwise(F.lit(0.0)),
+    )
 
 
 def cosine_distances(vectors: Column) -> Column:
@@ -81,17 +76,24 @@ def _between_neighbours(items: Column, distance) -> Column:
     return F.zip_with(F.slice(items, F.lit(1), n), F.slice(items, F.lit(2), n), distance)
 
 
-def word_groups(parts: Column, buffer: int) -> Column:
-    """Per sentence the distinct lower-case words of it and `buffer` neighbours each way."""
-    words = F.transform(
+def sentence_words(parts: Column) -> Column:
+    """Per sentence its distinct lower-case words."""
+    return F.transform(
         parts, lambda s: F.array_distinct(F.filter(F.split(F.lower(s), BLANKS), lambda t: t != ""))
     )
-    none = F.array().cast("array<string>")
-    groups = words
-    for offset in range(1, buffer + 1):
-        for side in (-offset, offset):
-            groups = F.zip_with(groups, _shifted(words, side, none), F.array_union)
-    return groups
+
+
+def word_groups(words: Column, buffer: int) -> Column:
+    """Per sentence the distinct words of it and `buffer` neighbours each way."""
+    if buffer == 0:
+        return words
+
+    def around(i: Column) -> Column:
+        first = F.greatest(i - buffer, F.lit(1))
+        return F.array_distinct(F.flatten(F.slice(words, first, i + buffer - first + 1)))
+
+    places = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    return F.when(F.size(words) > 0, F.transform(places, around)).otherwise(words)
 
 
 def interpolated(values: Column, p: float) -> Column:
@@ -117,12 +119,14 @@ def with_semantic_chunks(
     """
     pinned = pin(docs, _parts=sentences(named(text)))
     if vectors is None:
-        pinned = pin(pinned, _groups=word_groups(F.col("_parts"), buffer))
+        pinned = pin(pinned, _words=sentence_words(F.col("_parts")))
+        pinned = pin(pinned, _groups=word_groups(F.col("_words"), buffer))
         distances = jaccard_distances(F.col("_groups"))
     else:
         distances = cosine_distances(named(vectors))
     pinned = pin(pinned, _dist=distances)
-    pinned = pin(pinned, _cut=interpolated(F.array_sort("_dist"), percentile / 100.0))
+    pinned = pin(pinned, _sorted=F.sort_array("_dist"))
+    pinned = pin(pinned, _cut=interpolated(F.col("_sorted"), percentile / 100.0))
     # A cut after sentence i starts a chunk at sentence i+1.
     n = F.size("_parts")
     starts = F.filter(
@@ -140,7 +144,7 @@ def with_semantic_chunks(
         ends,
         lambda a, b: F.concat_ws("", F.slice(F.col("_parts"), a, b - a)),
     )
-    return pin(pinned, chunks=chunks).drop("_parts", "_groups", "_dist", "_cut", "_starts")
+    return pin(pinned, chunks=chunks).select(*[named(c) for c in docs.columns], "chunks")
 
 
 def _sized(chunks: Column) -> Column:
@@ -202,9 +206,9 @@ def chunk_guarded(
         flagged = join_back(chunked, verdicts, [batch], [doc])
         # Documents without a batch stand for themselves.
         flagged = flagged.withColumn("_over", F.coalesce("_over", largest > limit))
-    flagged = pin(flagged, _words=F.when(F.col("_over"), tokens(named(text))))
+    flagged = pin(flagged, _tokens=F.when(F.col("_over"), tokens(named(text))))
     windows = F.transform(
-        static_windows(F.col("_words"), limit, overlap),
+        static_windows(F.col("_tokens"), limit, overlap),
         lambda w: F.struct(F.size(w).alias("n_tokens"), F.concat_ws(" ", w).alias("chunk_text")),
     )
     chosen = F.when(F.col("_over"), windows).otherwise(F.col("_sized"))

@@ -132,6 +132,30 @@ memory AS (SELECT conv_id, min(CASE WHEN weight / 2 >= 0.2 AND rk - 1 <= length(
     FROM ordered JOIN turns USING (conv_id) WHERE turn_no = 1 GROUP BY conv_id)"""
 
 
+def weight_in(items: str) -> str:
+    return f"coalesce(list_filter({items}, lambda x: x.label = l)[1].weight, 0)"
+
+
+SESSION = f"""WITH RECURSIVE {TURNS},
+lists AS (SELECT conv_id, turn_no, list({{'weight': weight, 'label': label}} ORDER BY weight, label) AS items
+    FROM heavy GROUP BY conv_id, turn_no),
+told AS (SELECT conv_id, turn_no, length(text) % 4 AS level, coalesce(items, []) AS items
+    FROM turns LEFT JOIN lists USING (conv_id, turn_no)),
+fold AS (
+    SELECT conv_id, turn_no, items FROM told WHERE turn_no = 0
+    UNION ALL
+    SELECT conv_id, turn_no, list_slice(m, coalesce(list_filter(range(1, len(m) + 1), lambda i:
+            m[i].weight / (turn_no + 1) >= 0.2 AND i - 1 <= level)[1], 1), len(m)) AS items
+    FROM (SELECT t.conv_id, t.turn_no, t.level, list_sort(list_transform(list_distinct(
+            list_transform(f.items, lambda x: x.label) || list_transform(t.items, lambda x: x.label)),
+            lambda l: {{'weight': {weight_in("f.items")} + {weight_in("t.items")}, 'label': l}})) AS m
+        FROM fold f JOIN told t ON t.conv_id = f.conv_id AND t.turn_no = f.turn_no + 1)),
+final AS (SELECT * FROM fold QUALIFY turn_no = max(turn_no) OVER (PARTITION BY conv_id))
+SELECT conv_id, chat_length, rk, item.label AS label, round(item.weight, 6) AS weight FROM (
+    SELECT conv_id, turn_no + 1 AS chat_length, unnest(range(1, len(items) + 1)) AS rk,
+        unnest(items) AS item FROM final)"""
+
+
 ORACLE: dict[str, str] = {
     "scan_catalog_csv": "SELECT * FROM part",
     "scan_documents": """SELECT lang, source, count(*) AS n, sum(length(text))::BIGINT AS length
@@ -244,6 +268,8 @@ ORACLE: dict[str, str] = {
     "truncate_memory": f"""WITH {FOLLOW_UP}
         SELECT conv_id, label, round(weight, 6) AS weight, rk, 2 AS chat_length
         FROM ordered JOIN memory USING (conv_id) WHERE rk >= coalesce(memory, 1)""",
+    "session_fold": SESSION,
+    "session_stream": SESSION,
     "q_match": """WITH leveled AS (SELECT *, greatest(CASE WHEN p_size <= 0 THEN 0 ELSE 1 END,
             CASE WHEN p_type = 'PROMO' THEN 0 ELSE 2 END,
             CASE WHEN p_brand = 'Brand#3' THEN 0 ELSE 3 END) AS level FROM part)

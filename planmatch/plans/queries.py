@@ -22,7 +22,8 @@ from planmatch.operators.relax import relax_single
 from planmatch.plans import inputs, workload
 from planmatch.plans.inputs import table
 from planmatch.sources import catalog, documents, replies
-from planmatch.sources.storage import scratch_path
+from planmatch.sources.storage import scratch_path, spread
+from planmatch.streaming.session_stream import run_to_end, turn_records
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -413,7 +414,7 @@ def rows_to_column_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"), "doc_id")
 
 
 @query
@@ -473,7 +474,7 @@ def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
 def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
     """A question per label; the text of a vector is the document of the same number."""
     nearest = _nearest(spark, sf, 5)
-    texts = _documents(spark, sf).select(F.col("doc_id").alias("vec_id"), "text")
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     questions = table(spark, sf, "embeddings").select("label").distinct().withColumn(
         "question", F.concat(F.lit("What is said about topic "), F.col("label").cast("string"), F.lit("?"))
     )
@@ -542,6 +543,18 @@ def session_fold(spark: SparkSession, sf: str) -> DataFrame:
     return memory.state_rows(states).withColumn("weight", F.round("weight", 6))
 
 
+@query
+def session_stream(spark: SparkSession, sf: str) -> DataFrame:
+    records = turn_records(*_session(spark, sf))
+    path = scratch_path(spark, "turns")
+    records.write.parquet(path)
+    turns = spark.readStream.schema(records.schema).parquet(path)
+    states = run_to_end(
+        turns, scratch_path(spark, "stream-checkpoint"), scratch_path(spark, "stream-states")
+    )
+    return memory.state_rows(states).withColumn("weight", F.round("weight", 6))
+
+
 # ---------------------------------------------------------- question workload
 
 
