@@ -280,7 +280,7 @@ def _encode(
 def _finite(number: Column) -> Column:
     """NaN counts as missing, infinities as the largest numbers, -0.0 as 0.0."""
     bounded = F.greatest(F.least(number, F.lit(MAX_DOUBLE)), F.lit(-MAX_DOUBLE))
-    return F.when(~F.isnan(number), bounded + F.lit(0.0))
+    return F.when(number.isNotNull() & ~F.isnan(number), bounded + F.lit(0.0))
 
 
 def _inline_cells(

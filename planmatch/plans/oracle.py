@@ -261,7 +261,8 @@ ORACLE: dict[str, str] = {
         context AS (SELECT label, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
             FROM nearest JOIN documents ON vec_id = doc_id GROUP BY label)
         SELECT label, 'What is said about topic ' || label || '?' || chr(10) || chr(10)
-            || 'Given the context:' || chr(10) || context AS prompt FROM context""",
+            || 'Given the context:' || chr(10) || coalesce(context, '') AS prompt
+        FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN context USING (label)""",
     "merge_weights": f"WITH {FOLLOW_UP} SELECT conv_id, label, round(weight, 6) AS weight FROM merged",
     "order_weights": f"WITH {FOLLOW_UP} SELECT conv_id, label, round(weight, 6) AS weight, rk FROM ordered",
     "memory_point": f"WITH {FOLLOW_UP} SELECT conv_id, memory FROM memory",
