@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from planmatch.functions.predicates import named
-from planmatch.functions.vectors import cosine, dot, norm
+from planmatch.functions.vectors import cosine, norm
 
-# Questions (or catalog columns) that may be held as literals in one query.
+# Questions (or catalog columns) that travel with one query.
 MAX_QUESTIONS = 256
 
 
@@ -33,20 +40,43 @@ def few_rows(df: DataFrame, most: int = MAX_QUESTIONS) -> list:
     return rows
 
 
-def literal_vectors(
-    questions: DataFrame, key: str, vector: str, most: int = MAX_QUESTIONS
-) -> Column:
-    """The question vectors as one literal array<struct(key, vector, norm)>."""
-    rows = few_rows(questions.select(named(key), named(vector).cast("array<double>")), most)
-    entries = [
-        F.struct(
-            F.lit(row[0]).alias("key"),
-            F.array(*[F.lit(float(x)) for x in row[1]]).alias("vector"),
-            F.lit(sum(float(x) ** 2 for x in row[1]) ** 0.5).alias("norm"),
-        )
-        for row in rows
-    ]
-    return F.array(*entries)
+def _scorer(
+    questions: DataFrame, key: str, vector: str
+) -> tuple[list, Callable[[pa.RecordBatch], np.ndarray]]:
+    """Question keys, and a function from a batch (key, vector) to its cosines with
+    every question: one matrix product per Arrow batch."""
+    rows = few_rows(questions.select(named(key), named(vector).cast("array<double>")))
+    asked = np.array([r[1] for r in rows], dtype="float64").T
+    asked = asked / np.linalg.norm(asked, axis=0)
+    size = asked.shape[0]
+
+    def cosines(batch: pa.RecordBatch) -> np.ndarray:
+        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+        if len(flat) != batch.num_rows * size:
+            raise ValueError(f"every vector must have {size} elements")
+        own = flat.reshape(-1, size).astype("float64")
+        length = np.linalg.norm(own, axis=1)
+        # A vector of zeros points nowhere: its cosine is missing.
+        length[length == 0] = np.nan
+        return own @ asked / length[:, None]
+
+    return [r[0] for r in rows], cosines
+
+
+def _score_schema(
+    base: DataFrame, questions: DataFrame, base_key: str, question_key: str
+) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField(base_key, base.schema[base_key].dataType),
+            T.StructField(question_key, questions.schema[question_key].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+
+
+def _vectors(base: DataFrame, base_key: str, base_vector: str) -> DataFrame:
+    return base.select(named(base_key), named(base_vector)).where(named(base_vector).isNotNull())
 
 
 def score_all(
@@ -59,25 +89,20 @@ def score_all(
 ) -> DataFrame:
     """(base_key, question_key, score): cosine of every base vector with each of the
     few question vectors, in one narrow pass over the base."""
-    literal = literal_vectors(questions, question_key, question_vector)
-    own = named(base_vector)
-    scored = base.select(
-        named(base_key),
-        norm(own).alias("_norm"),
-        F.explode(
-            F.transform(
-                literal,
-                lambda q: F.struct(
-                    q["key"].alias("key"), dot(own, q["vector"]).alias("dot"), q["norm"].alias("norm")
-                ),
-            )
-        ).alias("q"),
-    )
-    return scored.select(
-        named(base_key),
-        F.col("q.key").alias(question_key),
-        F.try_divide(F.col("q.dot"), F.col("q.norm") * F.col("_norm")).alias("score"),
-    )
+    schema = _score_schema(base, questions, base_key, question_key)
+    keys, cosines = _scorer(questions, question_key, question_vector)
+    arrow = to_arrow_schema(schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = cosines(batch)
+            rows, width = scores.shape
+            own = batch.column(0).take(pa.array(np.repeat(np.arange(rows), width)))
+            asked = pa.array(keys, arrow.types[1]).take(pa.array(np.tile(np.arange(width), rows)))
+            score = pa.array(scores.ravel(), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([own, asked, score], schema=arrow)
+
+    return _vectors(base, base_key, base_vector).mapInArrow(score, schema)
 
 
 def best_per_question(scores: DataFrame, question_key: str, base_key: str, k: int) -> DataFrame:
@@ -98,9 +123,41 @@ def cosine_topk(
     question_key: str,
     question_vector: str,
 ) -> DataFrame:
-    """Exact nearest vectors; each task keeps `k` per question before the exchange."""
-    scores = score_all(base, questions, base_key, base_vector, question_key, question_vector)
-    return best_per_question(scores, question_key, base_key, k)
+    """Exact nearest vectors. Each task hands on its `k` best per question only, so
+    the exchange carries tasks x questions x k rows however large the base is."""
+    schema = _score_schema(base, questions, base_key, question_key)
+    keys, cosines = _scorer(questions, question_key, question_vector)
+    arrow = to_arrow_schema(schema)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            scores = cosines(batch)
+            order = np.nan_to_num(np.round(scores, 9), nan=-2.0)
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            found = [] if best is None else [best]
+            for j in range(scores.shape[1]):
+                column = order[:, j]
+                last = max(len(column) - k, 0)
+                # Ties with the k-th stay in: the key decides between them.
+                chosen = np.flatnonzero(column >= np.partition(column, last)[last])
+                found.append(
+                    pd.DataFrame(
+                        {"q": j, "order": column[chosen], "key": own[chosen], "score": scores[chosen, j]}
+                    )
+                )
+            best = pd.concat(found).sort_values(["q", "order", "key"], ascending=[True, False, True])
+            best = best.groupby("q").head(k)
+        if best is not None:
+            columns = [
+                pa.array(best["key"], arrow.types[0]),
+                pa.array(keys, arrow.types[1]).take(pa.array(best["q"])),
+                pa.array(best["score"], from_pandas=True),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    near = _vectors(base, base_key, base_vector).mapInArrow(nearest, schema)
+    return best_per_question(near, question_key, base_key, k)
 
 
 def ann_topk(

@@ -14,6 +14,8 @@ def local_session(cores: str | int = "*", app: str = "planmatch", **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Recording the Python line of every Column call costs seconds on wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():

@@ -152,6 +152,22 @@ def test_approximate_recall(spark, sf_dir):
     assert len(exact & approx) / len(exact) >= 0.6
 
 
-def test_topk_plan_trims_before_the_exchange(spark, sf_dir):
+def test_topk_plan_has_one_small_exchange(spark, sf_dir):
     plan = queries.cosine_topk(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2 and "Join" not in plan and "Python" not in plan
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1
+    assert "Join" not in plan and "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
+
+
+def test_topk_ties_and_zero_vectors(spark):
+    base = spark.createDataFrame(
+        [(i, [1.0, 0.0]) for i in range(9, 0, -1)] + [(10, [0.0, 0.0]), (11, None)],
+        "id long, v array<double>",
+    )
+    asked = spark.createDataFrame([("q", [2.0, 0.0])], "name string, v array<double>")
+    got = retrieval.cosine_topk(base, asked, 3, "id", "v", "name", "v").orderBy("rank").collect()
+    assert [(r["id"], r["score"]) for r in got] == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    every = retrieval.cosine_topk(base, asked, 20, "id", "v", "name", "v").orderBy("rank").collect()
+    assert len(every) == 10 and (every[-1]["id"], every[-1]["score"]) == (10, None)
+    with pytest.raises(Exception, match="3 elements"):
+        wide = spark.createDataFrame([("q", [2.0, 0.0, 1.0])], "name string, v array<double>")
+        retrieval.score_all(base, wide, "id", "v", "name", "v").collect()
