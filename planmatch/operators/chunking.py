@@ -191,25 +191,37 @@ def chunk_guarded(
     With `batch` the test covers a whole batch (one oversized chunk re-chunks all
     its documents); without, each document stands for itself and nothing moves.
     """
-    columns = [named(c) for c in dict.fromkeys((doc, text, *([batch] if batch else [])))]
-    chunked = with_semantic_chunks(docs.select(*columns), percentile, buffer, text)
-    chunked = pin(chunked, _sized=_sized(F.col("chunks"))).drop("chunks")
-    largest = F.array_max(F.transform("_sized", lambda c: c["n_tokens"]))
+    docs = docs.select(*[named(c) for c in dict.fromkeys((doc, text, *([batch] if batch else [])))])
+
+    def largest(sized: str) -> Column:
+        return F.array_max(F.transform(sized, lambda c: c["n_tokens"]))
+
     if batch is None:
-        flagged = chunked.withColumn("_over", largest > limit)
+        flagged = docs.withColumn("_batch_over", F.lit(False))
+        own_verdict = F.lit(True)
     else:
-        verdicts = (
-            chunked.where(named(batch).isNotNull())
-            .groupBy(named(batch))
-            .agg(F.max(largest > limit).alias("_over"), F.count(F.lit(1)).alias("n"))
+        # Only a text beyond the limit can have a chunk beyond it.
+        long = docs.where(named(batch).isNotNull() & (F.size(tokens(named(text))) > limit))
+        sized = with_semantic_chunks(long, percentile, buffer, text)
+        sized = pin(sized, _sized=_sized(F.col("chunks")))
+        over = sized.where(largest("_sized") > limit).select(named(batch)).distinct()
+        sizes = docs.groupBy(named(batch)).agg(F.count(F.lit(1)).alias("n"))
+        verdicts = sizes.join(over, batch).withColumn("_batch_over", F.lit(True))
+        flagged = join_back(docs, verdicts, [batch], [doc]).withColumn(
+            "_batch_over", F.coalesce("_batch_over", F.lit(False))
         )
-        flagged = join_back(chunked, verdicts, [batch], [doc])
         # Documents without a batch stand for themselves.
-        flagged = flagged.withColumn("_over", F.coalesce("_over", largest > limit))
-    flagged = pin(flagged, _tokens=F.when(F.col("_over"), tokens(named(text))))
+        own_verdict = named(batch).isNull()
+    # Texts of a re-chunked batch need no second look.
+    kept = F.when(~F.col("_batch_over"), named(text))
+    chunked = with_semantic_chunks(flagged.withColumn("_kept", kept), percentile, buffer, "_kept")
+    chunked = pin(chunked, _sized=_sized(F.col("chunks"))).drop("chunks")
+    over = F.col("_batch_over") | (own_verdict & (F.coalesce(largest("_sized"), F.lit(0)) > limit))
+    chunked = pin(chunked, _over=over)
+    chunked = pin(chunked, _tokens=F.when(F.col("_over"), tokens(named(text))))
     windows = F.transform(
         static_windows(F.col("_tokens"), limit, overlap),
         lambda w: F.struct(F.size(w).alias("n_tokens"), F.concat_ws(" ", w).alias("chunk_text")),
     )
     chosen = F.when(F.col("_over"), windows).otherwise(F.col("_sized"))
-    return _exploded(flagged, chosen, [doc])
+    return _exploded(chunked, chosen, [doc])

@@ -496,7 +496,19 @@ def _node_rows(
     if axes and len(axes) <= PATTERN_COLUMNS:
         asked = [r["m"] for r in probes.select(_mask(axes, "w").alias("m")).distinct().collect()]
         kept = kept.where(_mask(axes, "k").isin(asked))
-    return _best(kept, [a.key for a in axes], best, n)
+    keys = [a.key for a in axes]
+    return _best(kept.withColumn("node", _node(axes)).drop(*keys), ["node"], best, n)
+
+
+def _node(axes: list[_Axis]) -> Column:
+    """All axes as one text key, `*` meaning "any"; lengths keep texts apart. As a
+    single column it is partitioned and sorted once, for the ranking and the join."""
+    parts = []
+    for a in axes:
+        key = F.col(a.key)
+        text = key.cast("string") if a.numeric else F.concat_ws(":", F.length(key), key)
+        parts.append(F.when(key.isNull(), "*").otherwise(text))
+    return F.concat_ws("|", *parts) if parts else F.lit("")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -542,13 +554,9 @@ def _search(nodes: DataFrame, probes: DataFrame, axes: list[_Axis], n: int) -> D
             keys = wish["pts"]
             none = F.array(F.lit(None).cast("string"))
         keys = F.when(wish.isNull(), none).otherwise(keys)
-        asked = asked.withColumn(f"q{a.index}", F.explode(keys)).drop(f"w{a.index}")
-    if not axes:
-        # No condition anywhere: `nodes` is the answer to the only probe.
-        asked = asked.withColumn("q", F.lit(0))
-        nodes = nodes.withColumn("k", F.lit(0))
-    same = [F.col(f"q{a.index}").eqNullSafe(F.col(a.key)) for a in axes]
-    met = asked.join(nodes, reduce(lambda x, y: x & y, same or [F.col("q") == F.col("k")]))
+        asked = asked.withColumn(a.key, F.explode(keys)).drop(f"w{a.index}")
+    keys = [a.key for a in axes]
+    met = asked.withColumn("node", _node(axes)).drop(*keys).join(nodes, "node")
     place = F.row_number().over(
         Window.partitionBy("probe").orderBy(F.col("_price").asc_nulls_last(), "_key")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
+from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from planmatch.functions.predicates import named
-from planmatch.functions.vectors import cosine, norm
+from planmatch.functions.vectors import cosine
 
 # Questions (or catalog columns) that travel with one query.
 MAX_QUESTIONS = 256
@@ -178,22 +178,16 @@ def ann_topk(
     The join is on (table, bucket). A pair met in several tables is scored in the
     first one only, so no distinct over pairs is needed.
     """
-    unit = F.transform(
-        named(base_vector), lambda x: x.cast("double") / norm(named(base_vector))
-    )
-    hashed_base = base.select(
-        named(base_key), named(base_vector).alias("_bv"), array_to_vector(unit).alias("_unit")
-    )
-    q_unit = F.transform(
-        named(question_vector), lambda x: x.cast("double") / norm(named(question_vector))
-    )
     asked = questions.select(
-        named(question_key), named(question_vector).cast("array<double>").alias(question_vector)
+        named(question_key), named(question_vector).cast("array<double>").alias("_qv")
     )
     asked = questions.sparkSession.createDataFrame(few_rows(asked), asked.schema)
-    hashed_questions = asked.select(
-        named(question_key), named(question_vector).alias("_qv"), array_to_vector(q_unit).alias("_unit")
+    own = _vectors(base, base_key, base_vector).select(
+        named(base_key), named(base_vector).alias("_bv")
     )
+    unit = Normalizer(inputCol="_vector", outputCol="_unit")
+    hashed_questions = unit.transform(asked.withColumn("_vector", array_to_vector("_qv")))
+    hashed_base = unit.transform(own.withColumn("_vector", array_to_vector("_bv")))
     model = BucketedRandomProjectionLSH(
         inputCol="_unit", outputCol="_hashes", bucketLength=width, numHashTables=tables, seed=seed
     ).fit(hashed_questions)
