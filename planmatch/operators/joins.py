@@ -27,6 +27,7 @@ def join_back(
     n: str = "n",
     broadcast_rows: int = BROADCAST_ROWS,
     slices: int | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Left join of `big` with `keyed` (unique, non-null `on`; frequency column `n`).
 
@@ -36,8 +37,11 @@ def join_back(
       most `slices` keys can exceed 1/slices of all rows, so the list of hot
       keys is bounded whatever the data.
 
-    The column `n` is used up.
+    `most` is an upper bound on the rows of `keyed` that the caller has counted; it
+    saves writing and counting when it is small. The column `n` is used up.
     """
+    if most is not None and most <= broadcast_rows:
+        return big.join(F.broadcast(keyed.drop(n)), list(on), "left")
     keyed = materialise(keyed, "keyed")
     rows, total = keyed.agg(F.count(F.lit(1)), F.sum(n)).first()
     if rows <= broadcast_rows:

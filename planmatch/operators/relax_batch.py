@@ -33,12 +33,10 @@ from planmatch.functions.covers import ancestors, depth_for, interval_cover, lea
 from planmatch.functions.predicates import OPS, named
 from planmatch.operators.joins import join_back
 from planmatch.operators.ranking import value_positions
-from planmatch.sources.storage import materialise
+from planmatch.sources.storage import explosion_tasks, materialise
 
 # Distinct constants per column that may be held as literals.
 INLINE_CONSTANTS = 4096
-# Up to this many constrained columns, keys for column sets nobody asks are skipped.
-PATTERN_COLUMNS = 12
 
 MAX_DOUBLE = sys.float_info.max
 
@@ -51,7 +49,6 @@ class _Axis:
     name: str
     numeric: bool
     ops: set[str]
-    constants: int
     depth: int = 0
 
     @property
@@ -141,14 +138,19 @@ def relax_batch(
     values = constraints.select(
         "request_id", "ord", "col", "op", F.posexplode_outer("values").alias("vpos", "value")
     )
-    constants = _constants(values, catalog)
-    axes = _axes(catalog, constants)
-    cells, coded = _encode(catalog, values, constants, axes, inline_constants, joins)
+    axes, inline, table = _constants(values, catalog, inline_constants)
+    cells, coded = _encode(catalog, values, axes, inline, table, joins)
     profiles = materialise(_profiles(requests, coded, relevance, axes), "profiles")
     levels, probes = _probes(profiles, axes)
-    hits = _search(_node_rows(cells, probes, axes, key, price, payload, n), probes, axes, n)
+    # How many probes constrain which columns: few rows, as there are few columns.
+    masks = {r["m"]: r["count"] for r in probes.groupBy(_mask(axes, "w").alias("m")).count().collect()}
+    nodes = _node_rows(cells, list(masks), axes, key, price, payload, n)
+    hits = _search(nodes, probes, axes, n)
 
-    found = join_back(levels, hits, ["probe"], ["sig", "level"], **joins).groupBy("sig").agg(
+    joined = join_back(
+        levels, hits, ["probe"], ["sig", "level"], most=sum(masks.values()), **joins
+    )
+    found = joined.groupBy("sig").agg(
         F.max("n_sig").alias("n"),
         F.min(F.when(F.col("rows").isNotNull(), F.col("level"))).alias("level"),
         F.min_by("rows", F.when(F.col("rows").isNotNull(), F.col("level"))).alias("rows"),
@@ -196,58 +198,59 @@ def dropped_columns(relevance: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def _constants(values: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct (col, op, value) of the batch, with the number of uses `n`."""
-    return materialise(
+def _constants(
+    values: DataFrame, catalog: DataFrame, inline_constants: int
+) -> tuple[list[_Axis], dict[str, list], DataFrame | None]:
+    """The constrained columns; their distinct constants as rows (value, number, n)
+    where there are few; and the table of all constants, unless all are few."""
+    uses = (
         values.where(F.col("col").isin(catalog.columns))
         .groupBy("col", "op", "value")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "constants",
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("number", _finite(F.col("value").try_cast("double")))
     )
-
-
-def _axes(catalog: DataFrame, constants: DataFrame) -> list[_Axis]:
-    """Constrained columns with operators and number of constants; as many rows as columns."""
-    used = {
-        r["col"]: r
-        for r in constants.groupBy("col")
-        .agg(F.collect_set("op").alias("ops"), F.count_distinct("value").alias("values"))
-        .collect()
-    }
+    rows = uses.limit(inline_constants + 1).collect()
+    table = None
+    if len(rows) > inline_constants:
+        table = materialise(uses, "constants")
+        sizes = (
+            table.groupBy("col")
+            .agg(F.collect_set("op").alias("ops"), F.count_distinct("value").alias("size"))
+            .collect()
+        )
+        operators = {r["col"]: set(r["ops"]) for r in sizes}
+        few = [r["col"] for r in sizes if r["size"] <= inline_constants]
+        rows = table.where(F.col("col").isin(few)).collect()
+    else:
+        operators = {r["col"]: set() for r in rows}
+        few = list(operators)
+        for row in rows:
+            operators[row["col"]].add(row["op"])
+    inline: dict[str, dict] = {name: {} for name in few}
+    for row in rows:
+        inline[row["col"]].setdefault(row["value"], row)
     types = {f.name: f.dataType for f in catalog.schema.fields}
-    names = [c for c in catalog.columns if c in used]
+    names = [c for c in catalog.columns if c in operators]
     axes = [
-        _Axis(i, c, isinstance(types[c], T.NumericType), set(used[c]["ops"]), used[c]["values"])
-        for i, c in enumerate(names)
+        _Axis(i, c, isinstance(types[c], T.NumericType), operators[c]) for i, c in enumerate(names)
     ]
     for axis in axes:
         allowed = {"=", "in", "between", "<", "<=", ">", ">="} if axis.numeric else {"=", "in"}
         if not axis.ops <= allowed:
             raise ValueError(f"{sorted(axis.ops - allowed)} not supported on {axis.name}")
-    return axes
+    return axes, {name: list(found.values()) for name, found in inline.items()}, table
 
 
 def _encode(
     catalog: DataFrame,
     values: DataFrame,
-    constants: DataFrame,
     axes: list[_Axis],
-    inline_constants: int,
+    inline: dict[str, list],
+    table: DataFrame | None,
     joins: dict,
 ) -> tuple[DataFrame, DataFrame]:
     """Catalog with one key-source column `c{i}` per axis, and condition values with
     their cell `code` (numeric axes)."""
-    distinct = (
-        constants.groupBy("col", "value")
-        .agg(F.sum("n").alias("n"))
-        # 0.0 is added so that -0.0 and 0.0 are one value.
-        .withColumn("number", _finite(F.col("value").try_cast("double")))
-    )
-    few = [a.name for a in axes if a.constants <= inline_constants]
-    inline: dict[str, list] = {name: [] for name in few}
-    if few:
-        for row in distinct.where(F.col("col").isin(few)).collect():
-            inline[row["col"]].append(row)
     cells = catalog
     literal_codes: list[tuple] = []
     ranked_codes: list[DataFrame] = []
@@ -264,8 +267,8 @@ def _encode(
             cells, codes = _inline_cells(cells, inline[axis.name], axis)
             literal_codes += codes
         else:
-            mine = distinct.where(F.col("col") == axis.name)
-            cells, code = _ranked_cells(cells, mine, axis, joins)
+            mine = table.where(F.col("col") == axis.name).groupBy("col", "value", "number")
+            cells, code = _ranked_cells(cells, mine.agg(F.sum("n").alias("n")), axis, joins)
             ranked_codes.append(code)
     literal = values.sparkSession.createDataFrame(
         literal_codes, "col string, value string, code int, n long"
@@ -273,6 +276,10 @@ def _encode(
     if not ranked_codes:
         # Bounded by axes x inline_constants.
         return cells, values.join(F.broadcast(literal.drop("n")), ["col", "value"], "left")
+    if literal_codes:
+        # Uses per constant, over all operators.
+        sums = table.groupBy("col", "value").agg(F.sum("n").alias("n"))
+        literal = literal.drop("n").join(sums, ["col", "value"])
     dictionary = reduce(DataFrame.unionByName, ranked_codes, literal)
     return cells, join_back(values, dictionary, ["col", "value"], ["request_id"], **joins)
 
@@ -353,7 +360,7 @@ def _profiles(
             requests.select("request_id", F.lit("request").alias("kind")),
             allowMissingColumns=True,
         )
-        .repartition(_tasks(requests), "request_id")
+        .repartition(explosion_tasks(requests), "request_id")
     )
     is_label = F.col("kind") == "label"
     order = Window.partitionBy("request_id", "kind").orderBy("score", "col")
@@ -447,7 +454,7 @@ def _probes(profiles: DataFrame, axes: list[_Axis]) -> tuple[DataFrame, DataFram
     )
     wishes = [f"w{a.index}" for a in axes]
     probe = F.to_json(F.struct(*wishes)) if wishes else F.lit("{}")
-    exploded = materialise(exploded.withColumn("probe", probe), "levels")
+    exploded = exploded.withColumn("probe", probe)
     probes = materialise(
         exploded.groupBy("probe").agg(
             F.count(F.lit(1)).alias("n"), *[F.first(w).alias(w) for w in wishes]
@@ -459,7 +466,7 @@ def _probes(profiles: DataFrame, axes: list[_Axis]) -> tuple[DataFrame, DataFram
 
 def _node_rows(
     cells: DataFrame,
-    probes: DataFrame,
+    masks: list[int],
     axes: list[_Axis],
     key: str,
     price: str,
@@ -479,7 +486,7 @@ def _node_rows(
     best = [F.col("_price").asc_nulls_last(), F.col("_key").asc()]
     # Each cell is about to be listed many times: keep the tasks as many as a full
     # shuffle has, however small the cells are on disk.
-    kept = _best(kept, sources, best, n).repartition(_tasks(cells), "_key")
+    kept = _best(kept, sources, best, n).repartition(explosion_tasks(cells), "_key")
     for a in axes:
         have = F.col(f"c{a.index}")
         if a.numeric:
@@ -493,9 +500,8 @@ def _node_rows(
             none = F.array(F.lit(None).cast("string"))
         options = F.when(have.isNull(), none).otherwise(options)
         kept = kept.withColumn(a.key, F.explode(options)).drop(f"c{a.index}")
-    if axes and len(axes) <= PATTERN_COLUMNS:
-        asked = [r["m"] for r in probes.select(_mask(axes, "w").alias("m")).distinct().collect()]
-        kept = kept.where(_mask(axes, "k").isin(asked))
+    if len(masks) < 1 << len(axes):
+        kept = kept.where(_mask(axes, "k").isin(masks))
     keys = [a.key for a in axes]
     return _best(kept.withColumn("node", _node(axes)).drop(*keys), ["node"], best, n)
 
@@ -511,15 +517,12 @@ def _node(axes: list[_Axis]) -> Column:
     return F.concat_ws("|", *parts) if parts else F.lit("")
 
 
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _mask(axes: list[_Axis], prefix: str) -> Column:
     """Which axes are constrained, as a bit set."""
     return reduce(
         lambda x, y: x + y,
         [F.when(F.col(f"{prefix}{a.index}").isNotNull(), 1 << a.index).otherwise(0) for a in axes],
+        F.lit(0),
     )
 
 
@@ -538,7 +541,7 @@ def _best(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
 def _search(nodes: DataFrame, probes: DataFrame, axes: list[_Axis], n: int) -> DataFrame:
     """(probe, n, rows): node keys of each probe met with the node table."""
     asked = probes.select("probe", "n", *[f"w{a.index}" for a in axes])
-    asked = asked.repartition(_tasks(probes), "probe")
+    asked = asked.repartition(explosion_tasks(probes), "probe")
     for a in axes:
         wish = F.col(f"w{a.index}")
         if a.numeric:

@@ -46,3 +46,13 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores, key)
+
+
+def explosion_tasks(df: DataFrame) -> int:
+    """Tasks for a stage whose rows multiply after the exchange, where coalescing by
+    input size would leave one task with everything."""
+    spark = df.sparkSession
+    cores = 2 * spark.sparkContext.defaultParallelism
+    if spark.sparkContext.master.startswith("local"):
+        return cores
+    return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
