@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from planmatch.functions.predicates import named
 from planmatch.sources.storage import materialise
 
-# A keyed result up to this many rows is broadcast.
+# A keyed result is broadcast up to this many rows and characters of JSON.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64_000_000
 
 
 def join_back(
@@ -27,24 +28,21 @@ def join_back(
     n: str = "n",
     broadcast_rows: int = BROADCAST_ROWS,
     slices: int | None = None,
-    most: int | None = None,
 ) -> DataFrame:
     """Left join of `big` with `keyed` (unique, non-null `on`; frequency column `n`).
 
-    * `keyed` small (counted, not guessed): broadcast, `big` does not move.
+    * `keyed` small (counted and weighed, not guessed): broadcast, `big` stays put.
     * otherwise a shuffle join in which a key with more than its fair share of
       rows is spread over several tasks by a hash of the `spread` columns. At
       most `slices` keys can exceed 1/slices of all rows, so the list of hot
       keys is bounded whatever the data.
 
-    `most` is an upper bound on the rows of `keyed` that the caller has counted; it
-    saves writing and counting when it is small. The column `n` is used up.
+    The column `n` is used up.
     """
-    if most is not None and most <= broadcast_rows:
-        return big.join(F.broadcast(keyed.drop(n)), list(on), "left")
     keyed = materialise(keyed, "keyed")
-    rows, total = keyed.agg(F.count(F.lit(1)), F.sum(n)).first()
-    if rows <= broadcast_rows:
+    width = F.length(F.to_json(F.struct("*")))
+    rows, total, size = keyed.agg(F.count(F.lit(1)), F.sum(n), F.sum(width)).first()
+    if rows <= broadcast_rows and (size or 0) <= BROADCAST_BYTES:
         return big.join(F.broadcast(keyed.drop(n)), list(on), "left")
 
     spark = big.sparkSession

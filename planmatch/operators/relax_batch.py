@@ -142,15 +142,12 @@ def relax_batch(
     cells, coded = _encode(catalog, values, axes, inline, table, joins)
     profiles = materialise(_profiles(requests, coded, relevance, axes), "profiles")
     levels, probes = _probes(profiles, axes)
-    # How many probes constrain which columns: few rows, as there are few columns.
-    masks = {r["m"]: r["count"] for r in probes.groupBy(_mask(axes, "w").alias("m")).count().collect()}
-    nodes = _node_rows(cells, list(masks), axes, key, price, payload, n)
+    # Which columns are constrained together: few rows, as there are few columns.
+    masks = [r["m"] for r in probes.select(_mask(axes, "w").alias("m")).distinct().collect()]
+    nodes = _node_rows(cells, masks, axes, key, price, payload, n)
     hits = _search(nodes, probes, axes, n)
 
-    joined = join_back(
-        levels, hits, ["probe"], ["sig", "level"], most=sum(masks.values()), **joins
-    )
-    found = joined.groupBy("sig").agg(
+    found = join_back(levels, hits, ["probe"], ["sig", "level"], **joins).groupBy("sig").agg(
         F.max("n_sig").alias("n"),
         F.min(F.when(F.col("rows").isNotNull(), F.col("level"))).alias("level"),
         F.min_by("rows", F.when(F.col("rows").isNotNull(), F.col("level"))).alias("rows"),

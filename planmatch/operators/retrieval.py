@@ -216,6 +216,12 @@ def _bucketed(hashed: DataFrame, keep: list[str], name: str) -> DataFrame:
     )
 
 
+def attach_texts(near: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """Texts of the nearest vectors. `near` comes from a top-k over counted questions,
+    so it holds at most MAX_QUESTIONS x k rows and the texts stay where they are."""
+    return texts.join(F.broadcast(near), key)
+
+
 def assemble_context(
     retrieved: DataFrame,
     questions: DataFrame,

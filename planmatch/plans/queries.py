@@ -104,12 +104,12 @@ BODY_SCHEMA = T.StructType(
 def answer_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way from requests to JSON answers, for every customer."""
     customer = table(spark, sf, "customer")
-    requests, constraints = inputs.requests(customer), inputs.constraints(customer)
-    relevance = inputs.relevance(customer)
-    valid, errors = relax_batch.split_requests(constraints, inputs.CATALOG_COLUMNS)
-    answers = _relaxed(spark, sf).withColumnRenamed("level", "_level")
-    levels = answers.select("request_id", F.col("_level").alias("level"))
-    kept = relax_batch.drop_conditions(valid, relax_batch.dropped_columns(relevance, levels))
+    requests, relevance = inputs.requests(customer), inputs.relevance(customer)
+    valid, errors = relax_batch.split_requests(
+        inputs.constraints(customer), inputs.CATALOG_COLUMNS
+    )
+    answers = _relaxed(spark, sf, valid)
+    kept = relax_batch.drop_conditions(valid, relax_batch.dropped_columns(relevance, answers))
     rows = answers.select("request_id", F.inline("rows"))
     columns = ["p_brand", "p_type", "p_size", "p_retailprice"]
     maps = shaping.rows_to_column_map(rows, ["request_id"], "p_partkey", columns)
@@ -297,12 +297,14 @@ def relax_single_rows(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["relax_single"] = QUERIES.pop("relax_single_rows")
 
 
-def _relaxed(spark: SparkSession, sf: str) -> DataFrame:
+def _relaxed(spark: SparkSession, sf: str, constraints: DataFrame | None = None) -> DataFrame:
     customer = table(spark, sf, "customer")
+    if constraints is None:
+        constraints = inputs.constraints(customer)
     return relax_batch.relax_batch(
         inputs.catalog(spark, sf),
         inputs.requests(customer),
-        inputs.constraints(customer),
+        constraints,
         inputs.relevance(customer),
         key="p_partkey",
         price="p_retailprice",
@@ -479,7 +481,7 @@ def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
         "question", F.concat(F.lit("What is said about topic "), F.col("label").cast("string"), F.lit("?"))
     )
     return retrieval.assemble_context(
-        nearest.join(texts, "vec_id"), questions, "label", "question", "text"
+        retrieval.attach_texts(nearest, texts, "vec_id"), questions, "label", "question", "text"
     )
 
 
