@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from planmatch.functions.covers import ancestors, depth_for, interval_cover, leaf
 from planmatch.functions.predicates import OPS, named
+from planmatch.operators.close_match import expand_close
 from planmatch.operators.joins import join_back
 from planmatch.operators.ranking import value_positions
 from planmatch.sources.storage import explosion_tasks, materialise
@@ -135,10 +136,13 @@ def relax_batch(
     array<string>) on catalog columns; relevance(request_id, col, score).
     """
     joins = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
-    values = constraints.select(
-        "request_id", "ord", "col", "op", F.posexplode_outer("values").alias("vpos", "value")
-    )
+    values = _condition_values(constraints)
     axes, inline, table = _constants(values, catalog, inline_constants)
+    fuzzy = [a.name for a in axes if "~" in a.ops]
+    if fuzzy:
+        constraints = expand_close(catalog, constraints, fuzzy, joins)
+        values = _condition_values(materialise(constraints, "conditions"))
+        axes, inline, table = _constants(values, catalog, inline_constants)
     cells, coded = _encode(catalog, values, axes, inline, table, joins)
     profiles = materialise(_profiles(requests, coded, relevance, axes), "profiles")
     levels, probes = _probes(profiles, axes)
@@ -195,6 +199,12 @@ def dropped_columns(relevance: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
+def _condition_values(constraints: DataFrame) -> DataFrame:
+    return constraints.select(
+        "request_id", "ord", "col", "op", F.posexplode_outer("values").alias("vpos", "value")
+    )
+
+
 def _constants(
     values: DataFrame, catalog: DataFrame, inline_constants: int
 ) -> tuple[list[_Axis], dict[str, list], DataFrame | None]:
@@ -232,7 +242,7 @@ def _constants(
         _Axis(i, c, isinstance(types[c], T.NumericType), operators[c]) for i, c in enumerate(names)
     ]
     for axis in axes:
-        allowed = {"=", "in", "between", "<", "<=", ">", ">="} if axis.numeric else {"=", "in"}
+        allowed = {"=", "in", "between", "<", "<=", ">", ">="} if axis.numeric else {"=", "in", "~"}
         if not axis.ops <= allowed:
             raise ValueError(f"{sorted(axis.ops - allowed)} not supported on {axis.name}")
     return axes, {name: list(found.values()) for name, found in inline.items()}, table

@@ -8,6 +8,7 @@ import pytest
 
 from planmatch.functions.predicates import Condition
 from planmatch.operators import relax_batch as rb
+from planmatch.operators.close_match import close_values
 from planmatch.operators.relax import drop_conditions_on, label_ranks, relax_single
 
 COLUMNS = ["brand", "kind", "size", "price"]
@@ -21,8 +22,8 @@ def make_catalog(rng, n):
     return [
         (
             i,
-            maybe(rng.choice(["x", "y", "z"])),
-            maybe(rng.choice(["p", "q"])),
+            maybe(rng.choice(["xenon", "Yard ", "z"])),
+            maybe(rng.choice(["p", "quiet"])),
             maybe(rng.randint(0, 12)),
             maybe(rng.choice([1.5, 2.0, 2.5, 7.0, -3.0, 0.0])),
         )
@@ -35,9 +36,12 @@ def make_request(rng):
     for _ in range(rng.randint(0, 6)):
         col = rng.choice(COLUMNS)
         if col in ("brand", "kind"):
-            op = rng.choice(["=", "in"])
-            names = ["x", "y", "z", "p", "q", "none"]
-            value = rng.choice(names) if op == "=" else tuple(rng.sample(names, rng.randint(0, 3)))
+            op = rng.choice(["=", "in", "~"])
+            names = ["xenon", "yard", "z", "p", "quiet", "none"]
+            if op == "~":
+                value = rng.choice([" Xenom", "yar", "quite", "y", "", "en", "absent", "Z"])
+            else:
+                value = rng.choice(names) if op == "=" else tuple(rng.sample(names, rng.randint(0, 3)))
         else:
             op = rng.choice(["=", "<=", ">=", "<", ">", "between", "in"])
             low = rng.choice([-4, -3, 0, 1.5, 2, 2.5, 5, 9, 13, 1e9])
@@ -52,6 +56,20 @@ def make_request(rng):
     return conds, labels
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def close(have, wanted):
+    have, wanted = have.strip(" ").lower(), wanted.strip(" ").lower()
+    return wanted in have or edits(have, wanted) <= max(1, len(wanted) // 4)
+
+
 def holds(row, cond):
     have = dict(zip(["key", *COLUMNS], row))[cond.column]
     if have is None:
@@ -65,6 +83,7 @@ def holds(row, cond):
         ">": lambda: have > value,
         "between": lambda: value[0] <= have <= value[1],
         "in": lambda: have in value,
+        "~": lambda: close(have, value),
     }[cond.op]()
 
 
@@ -224,3 +243,18 @@ def test_single_plan_pushes_surviving_conditions(spark, sf_dir):
     plan = found.rows.select("p_partkey")._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(p_size,9)" in plan
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
+
+
+def test_close_values_equal_all_pairs(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 13))) for _ in range(120)]
+    values, wanted = sorted(set(words[:60])), sorted(set(words[60:]) | {"", "a", "abcabc"})
+    got = close_values(
+        spark.createDataFrame([(v,) for v in values], "value string"),
+        spark.createDataFrame([(w,) for w in wanted], "text string"),
+    )
+    assert {(r["text"], r["value"]) for r in got.collect()} == {
+        (w, v) for w in wanted for v in values if close(v, w)
+    }
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
