@@ -20,6 +20,13 @@ SEGMENT_TYPES = {
     "HOUSEHOLD": "SMALL",
     "MACHINERY": "TINY",
 }
+# The same wishes as people misspell them.
+MISSPELT_TYPES = {
+    "AUTOMOBILE": "PROMOS",
+    "BUILDING": " Econimy",
+    "HOUSEHOLD": "mall",
+    "MACHINERY": "tinny",
+}
 # Labels in the order used by the score arithmetic.
 LABELS = ("p_brand", "p_size", "p_retailprice", "p_type", "delivery")
 
@@ -50,21 +57,21 @@ def requests(customer: DataFrame) -> DataFrame:
     )
 
 
-def constraints(customer: DataFrame) -> DataFrame:
+def constraints(customer: DataFrame, close: bool = False) -> DataFrame:
     """Brand by nation (an absent one when in debt), size and price by balance, type
-    by segment."""
+    by segment; with `close`, the type is misspelt and need only be close."""
     balance = F.col("c_acctbal")
     brand = F.when(balance < 0, F.lit("Brand#99")).otherwise(
         F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 1).cast("string"))
     )
     wanted_type = F.lit(None).cast("string")
-    for segment, name in SEGMENT_TYPES.items():
+    for segment, name in (MISSPELT_TYPES if close else SEGMENT_TYPES).items():
         wanted_type = F.when(F.col("c_mktsegment") == segment, name).otherwise(wanted_type)
     conditions = F.array(
         _condition(1, "p_brand", "=", brand),
         _condition(2, "p_size", "<=", F.floor(balance / 200).cast("string")),
         _condition(3, "p_retailprice", "<=", (F.floor(balance / 100) + 900).cast("string")),
-        _condition(4, "p_type", "=", wanted_type),
+        _condition(4, "p_type", "~" if close else "=", wanted_type),
     )
     return (
         customer.select(F.col("c_custkey").alias("request_id"), F.inline(conditions))

@@ -55,6 +55,17 @@ answer AS (SELECT request_id, level, row_number() OVER (
 levels AS (SELECT r.request_id, coalesce(a.level, r.n_labels) AS level, a.level IS NULL AS is_empty
     FROM rks r LEFT JOIN (SELECT DISTINCT request_id, level FROM answer) a USING (request_id))"""
 
+# The type wish of the misspelt requests, and their test.
+RELAXED_CLOSE = (
+    RELAXED.replace("coalesce(p_type = typ, false)", """coalesce(
+        contains(lower(trim(p_type)), typ) OR
+        levenshtein(lower(trim(p_type)), typ) <= greatest(1, length(typ) // 4), false)""")
+    .replace("THEN 'PROMO'", "THEN 'promos'")
+    .replace("THEN 'ECONOMY'", "THEN 'econimy'")
+    .replace("THEN 'SMALL'", "THEN 'mall'")
+    .replace("THEN 'TINY'", "THEN 'tinny'")
+)
+
 RENDER = "string_agg(col || ' ' || op || ' ' || value, ' AND ' ORDER BY ord)"
 
 SENTENCE = r"[^.!?]*[.!?]+[ \t\r\n]*|[^.!?]+"
@@ -217,6 +228,7 @@ ORACLE: dict[str, str] = {
         SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice, level
         FROM leveled QUALIFY level = min(level) OVER ()""",
     "relax_batch": f"WITH {RELAXED} SELECT * FROM answer",
+    "relax_batch_close": f"WITH {RELAXED_CLOSE} SELECT * FROM answer",
     "relax_level": f"""WITH {RELAXED}
         SELECT v.request_id, v.level, coalesce(string_agg(r.col, ',' ORDER BY r.rk), '') AS dropped
         FROM levels v LEFT JOIN ranked r ON r.request_id = v.request_id AND r.rk <= v.level
