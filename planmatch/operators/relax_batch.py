@@ -133,7 +133,9 @@ def relax_batch(
     is null when nothing qualifies even at the end.
 
     requests(request_id); constraints(request_id, ord, col, op, values
-    array<string>) on catalog columns; relevance(request_id, col, score).
+    array<string>) on catalog columns - set others aside with `split_requests`;
+    relevance(request_id, col, score). `payload` travels with every kept row, so
+    name few columns.
     """
     joins = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
     values = _condition_values(constraints)

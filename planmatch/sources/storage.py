@@ -17,7 +17,12 @@ _OWN_ROOT: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`; a folder of our own only where none is set (tests)."""
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    setting = "spark.checkpoint.dir"
+    root = (
+        spark.conf.get(setting, None)
+        or context.getConf().get(setting)
+        or context.getCheckpointDir()
+    )
     if root:
         return root.rstrip("/")
     app = context.applicationId
