@@ -3,8 +3,8 @@ scaled by its naive Bayes log-count ratio.
 
 n-grams of code points (A-Z folded) are hashed into a fixed number of buckets and count
 once per text. On labelled texts the ratio of a bucket is log of its smoothed share among
-toxic texts over its share among the others; a logistic regression is then fitted on the
-features times their ratios. Weights and ratios fold into one vector of BUCKETS numbers,
+toxic texts over its share among the others. Buckets that do not tell the classes apart
+are left out; a logistic regression is fitted on the others times their ratios. Weights and ratios fold into one vector of BUCKETS numbers,
 which is all that travels to the scoring pass.
 
 Fitting uses at most `train_rows` labelled rows, those with the smallest hash of the id;
@@ -16,23 +16,28 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from planmatch.functions.predicates import named
 from planmatch.llm.batches import LOWER, arrow_map, kept_fields, utf8
 from planmatch.sources.storage import materialise
 
 BUCKETS = 1 << 18
-LENGTHS = (3, 4, 5, 6)
+LENGTHS = (4, 5)
 TRAIN_ROWS = 16_000
 # Code points looked at together; a longer text goes through in overlapping pieces.
 PIECE = 1 << 20
-SMOOTH = 1.0
-REG = 0.01
+SMOOTH = 20.0
+SURE = 3.5
+REG = 0.001
+# Feature vectors in one Arrow batch.
+VECTORS = 200
 THRESHOLD = 0.3
 
 
@@ -109,13 +114,18 @@ def fit_toxicity(
     # At most train_rows rows of an id and a number.
     chosen = texts.join(F.broadcast(materialise(marked, "labels")), "id")
 
-    def featurise(batch):
+    def featurise(batches):
         distinct = _Distinct()
-        return [batch.column(0), [np.sort(distinct(t)).astype(np.int32) for t in utf8(batch.column(1))]]
+        for whole in batches:
+            for begin in range(0, whole.num_rows, VECTORS):
+                batch = whole.slice(begin, VECTORS)
+                met = [np.sort(distinct(t)).astype(np.int32) for t in utf8(batch.column(1))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(met, pa.list_(pa.int32()))], names=["label", "buckets"]
+                )
 
     features = materialise(
-        arrow_map(chosen.select("label", "text"), featurise, "label double, buckets array<int>"),
-        "toxicity",
+        chosen.select("label", "text").mapInArrow(featurise, "label double, buckets array<int>"), "toxicity"
     )
     shares = {r["label"]: r["n"] for r in features.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = shares.get(1.0, 0), shares.get(0.0, 0)
@@ -130,26 +140,58 @@ def fit_toxicity(
         .agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
         .toPandas()
     )
-    p = np.full(BUCKETS, SMOOTH)
-    q = np.full(BUCKETS, SMOOTH)
-    p[counts["bucket"]] += counts["p"]
-    q[counts["bucket"]] += counts["q"]
-    ratios = np.log(p / p.sum()) - np.log(q / q.sum())
-
-    def scaled(batch):
-        buckets = batch.column(1).to_pylist()
-        vectors = [
-            {"type": 0, "size": BUCKETS, "indices": b, "values": ratios[b].tolist()} for b in buckets
-        ]
-        return [batch.column(0), vectors]
+    p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    p[counts["bucket"]] = counts["p"]
+    q[counts["bucket"]] = counts["q"]
+    ratios, telling = log_count_ratios(p, q, toxic, other)
+    if not len(telling):
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(toxic / other)))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[telling] = np.arange(len(telling))
+    scale = ratios[telling]
 
     pair = T.StructType(
         [T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]
     )
-    known = arrow_map(features, scaled, pair)
-    fitted = LogisticRegression(maxIter=40, regParam=REG, standardization=False).fit(known)
-    weights = fitted.coefficients.toArray() * ratios
-    return ToxicityModel(weights.astype(np.float32), float(fitted.intercept))
+    arrow = to_arrow_schema(pair)
+
+    def scaled(batches):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, VECTORS):
+                batch = whole.slice(begin, VECTORS)
+                met = place[batch.column(1).flatten().to_numpy()]
+                row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+                lengths = np.bincount(row[met >= 0], minlength=batch.num_rows)
+                ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+                met = met[met >= 0]
+                kind = arrow.field(1).type
+                parts = [
+                    pa.array(np.zeros(len(lengths)), pa.int8()),
+                    pa.array(np.full(len(lengths), len(telling)), pa.int32()),
+                    pa.ListArray.from_arrays(ends, pa.array(met, pa.int32()), type=kind.field(2).type),
+                    pa.ListArray.from_arrays(ends, pa.array(scale[met]), type=kind.field(3).type),
+                ]
+                vectors = pa.StructArray.from_arrays(parts, fields=list(kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0), vectors], schema=arrow)
+
+    known = features.mapInArrow(scaled, pair)
+    fitted = LogisticRegression(maxIter=100, regParam=REG, standardization=False).fit(known)
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[telling] = fitted.coefficients.toArray() * scale
+    return ToxicityModel(weights, float(fitted.intercept))
+
+
+def log_count_ratios(p: np.ndarray, q: np.ndarray, toxic: int, other: int) -> tuple[np.ndarray, np.ndarray]:
+    """Naive Bayes log-count ratio of every bucket, smoothed by SMOOTH rows of the usual mix,
+    and the buckets that tell the classes apart: their toxic rows are SURE standard
+    deviations away from what their rows would hold by chance."""
+    share = toxic / (toxic + other)
+    ratios = np.log((p + SMOOTH * share) / (toxic + SMOOTH * share)) - np.log(
+        (q + SMOOTH * (1 - share)) / (other + SMOOTH * (1 - share))
+    )
+    chance = (p + q) * share
+    off = np.abs(p - chance) / np.sqrt(np.maximum(chance, 1e-9) * (1 - share))
+    return ratios, np.flatnonzero(off >= SURE)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep=("doc_id",), text: str = "text") -> DataFrame:
