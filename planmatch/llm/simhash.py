@@ -101,7 +101,7 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
         plain, split = index, None
     else:
         hot = variants(full).select("key").distinct().withColumn("hot", F.lit(True))
-        marked = index.join(hot, "key", "left")
+        marked = index.join(hot.hint("merge"), "key", "left")
         plain = marked.where(F.col("hot").isNull()).drop("hot")
         split = marked.where(F.col("hot")).drop("hot")
 
@@ -114,7 +114,8 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
         near = (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= BITS)
         # Found under the upper half already: not again under the lower one.
         once = (F.col("a.h") == 0) | (F.bit_count(F.shiftrightunsigned(differ, 32)) > 1)
-        met = a.join(b, same & near & once & _first_shared(F.col("a.v"), F.col("b.v"), F.col("a.bit")) & extra)
+        # Sizes are guessed from the unexploded table: without the hint it would be broadcast.
+        met = a.join(b.hint("merge"), same & near & once & _first_shared(F.col("a.v"), F.col("b.v"), F.col("a.bit")) & extra)
         return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
     found = pairs(plain, ["key"], F.lit(True))
