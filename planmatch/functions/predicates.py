@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -35,8 +36,23 @@ class Condition:
 
 
 def predicate(cond: Condition) -> Column:
+    """The condition as a Column. A text column compared with numbers is compared as a
+    number, and what is no number is missing; the column's type is known when the plan is
+    made, so no choice is left in it."""
     col, value = named(cond.column), cond.value
-    match cond.op:
+    if cond.op == "~":
+        return close_to(col, str(value))
+    values = [v for v in (value if cond.op in ("in", "between") else [value]) if v is not None]
+    numbers = [v for v in values if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool)]
+    plain = _compared(col, cond.op, value)
+    if not values or len(numbers) < len(values):
+        return plain
+    as_number = _compared(col.try_cast("double"), cond.op, value)
+    return F.when(F.typeof(col) == "string", as_number).otherwise(plain)
+
+
+def _compared(col: Column, op: str, value: object) -> Column:
+    match op:
         case "=":
             return col == F.lit(value)
         case "<=":
@@ -50,10 +66,8 @@ def predicate(cond: Condition) -> Column:
         case "between":
             low, high = value
             return col.between(F.lit(low), F.lit(high))
-        case "in":
-            return col.isin(list(value))
         case _:
-            return close_to(col, str(value))
+            return col.isin(list(value))
 
 
 def conjunction(conds: Iterable[Condition]) -> Column:

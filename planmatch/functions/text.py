@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: a list of quoted names, as Python and JSON write it.
-NAME = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+# Possessive, so that the length of a name costs no stack.
+NAME = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
 NAME_LIST = rf"^\[\s*(?:{NAME}(?:\s*,\s*{NAME})*\s*,?)?\s*\]$"
 # Fixed value: a sentence keeps its end marks and the blanks after them, so the
 # sentences of a text add up to the text.

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +41,11 @@ def value_positions(
     )
     ranges = counted.count() // values_per_range + 1
     if ranges > 1:
-        probabilities = [i / ranges for i in range(1, ranges)]
-        cuts = sorted(set(counted.approxQuantile(value, probabilities, 0.1 / ranges)))
-        counted = (
-            Bucketizer(
-                splits=[float("-inf"), *cuts, float("inf")],
-                inputCol="_as_double",
-                outputCol="_range",
-            )
-            .transform(counted.withColumn("_as_double", named(value).cast("double")))
-            .drop("_as_double")
-        )
+        # Any type that sorts; equal values share a range, NaN is the largest number.
+        ranged = counted.repartitionByRange(ranges, named(value))
+        counted = materialise(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     else:
-        counted = counted.withColumn("_range", F.lit(0.0))
+        counted = counted.withColumn("_range", F.lit(0))
 
     inside = Window.partitionBy(*groups, "_range").orderBy(named(value))
     placed = counted.withColumn(
@@ -105,11 +96,13 @@ def exact_quantiles(
     """Interpolated quantiles per group, one column per entry of `probabilities`."""
     groups = [named(c) for c in by]
     places = materialise(value_positions(df, value, by), "places")
-    totals = places.groupBy(*groups).agg(
-        F.sum("n").alias("_total"), F.count(F.lit(1)).alias("_rows")
-    )
+    totals = places.groupBy(*groups).agg(F.sum("n").alias("_total"))
     if by:
-        sized = join_back(places, totals, by, [value], n="_rows")
+        own = totals.select(*[g.alias(f"_g{i}") for i, g in enumerate(groups)], "_total")
+        same = F.lit(True)
+        for i, g in enumerate(groups):
+            same = same & g.eqNullSafe(F.col(f"_g{i}"))
+        sized = places.join(own, same).drop(*[f"_g{i}" for i in range(len(groups))])
     else:
         total = totals.first()["_total"]
         sized = places.withColumn("_total", F.lit(total))

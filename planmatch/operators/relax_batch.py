@@ -66,6 +66,10 @@ class _Axis:
         return None
 
 
+NUMBER_OPS = frozenset({"=", "in", "between", "<", "<=", ">", ">="})
+TEXT_OPS = frozenset({"=", "in", "~"})
+
+
 def rank_relevance(relevance: DataFrame) -> DataFrame:
     """Rank 1 is the least relevant label of a request; ties by label."""
     order = Window.partitionBy("request_id").orderBy("score", "col")
@@ -73,13 +77,20 @@ def rank_relevance(relevance: DataFrame) -> DataFrame:
 
 
 def split_requests(
-    constraints: DataFrame, catalog_columns: Sequence[str]
+    constraints: DataFrame, catalog_columns: Sequence[str], schema: T.StructType | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Constraints of well-formed requests, and one error row per other request."""
+    """Constraints of well-formed requests, and one error row per other request. With the
+    catalog's `schema` that includes operators that a column's type does not have."""
     problem = F.when(
         ~F.col("col").isin(list(catalog_columns)),
         F.concat(F.lit("unknown column: "), "col"),
     ).when(~F.col("op").isin(list(OPS)), F.concat(F.lit("unknown operator: "), "op"))
+    if schema is not None:
+        numeric = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
+        allowed = F.when(F.col("col").isin(numeric), F.col("op").isin(list(NUMBER_OPS))).otherwise(
+            F.col("op").isin(list(TEXT_OPS))
+        )
+        problem = problem.when(~allowed, F.concat("op", F.lit(" does not suit column: "), "col"))
     checked = constraints.withColumn("_problem", problem)
     errors = (
         checked.where(F.col("_problem").isNotNull())
@@ -244,7 +255,7 @@ def _constants(
         _Axis(i, c, isinstance(types[c], T.NumericType), operators[c]) for i, c in enumerate(names)
     ]
     for axis in axes:
-        allowed = {"=", "in", "between", "<", "<=", ">", ">="} if axis.numeric else {"=", "in", "~"}
+        allowed = NUMBER_OPS if axis.numeric else TEXT_OPS
         if not axis.ops <= allowed:
             raise ValueError(f"{sorted(axis.ops - allowed)} not supported on {axis.name}")
     return axes, {name: list(found.values()) for name, found in inline.items()}, table

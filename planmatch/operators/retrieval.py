@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,9 +17,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from planmatch.functions.predicates import named
 from planmatch.functions.vectors import cosine
+from planmatch.operators.joins import BROADCAST_ROWS
+from planmatch.sources.storage import materialise
 
-# Questions (or catalog columns) that travel with one query.
-MAX_QUESTIONS = 256
+# Question vectors that travel with one pass over the base.
+QUESTION_BYTES = 16_000_000
 
 
 def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
@@ -32,35 +35,60 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return means.groupBy(named(label)).agg(F.transform(ordered, lambda s: s["x"]).alias(vector))
 
 
-def few_rows(df: DataFrame, most: int = MAX_QUESTIONS) -> list:
-    """Rows of a table that must be small: checked, never assumed."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} questions in one query; send them in batches")
-    return rows
+Scorer = Callable[[pa.RecordBatch], np.ndarray]
 
 
-def _scorer(
-    questions: DataFrame, key: str, vector: str
-) -> tuple[list, Callable[[pa.RecordBatch], np.ndarray]]:
-    """Question keys, and a function from a batch (key, vector) to its cosines with
-    every question: one matrix product per Arrow batch."""
-    rows = few_rows(questions.select(named(key), named(vector).cast("array<double>")))
-    asked = np.array([r[1] for r in rows], dtype="float64").T
-    asked = asked / np.linalg.norm(asked, axis=0)
-    size = asked.shape[0]
+def _scorers(
+    questions: DataFrame, key: str, vector: str, question_bytes: int
+) -> Iterator[tuple[list, Scorer]]:
+    """Question keys in blocks of bounded bytes, each with a function from a batch (key,
+    vector) to its cosines with every question of the block: one matrix product.
+
+    A block holds vectors of one length. Questions without vector, or with a missing
+    element, are left out. A base vector of another length, with a missing element or of
+    zeros only has no cosine.
+    """
+    asked = materialise(
+        questions.select(named(key).alias("key"), named(vector).cast("array<double>").alias("vector")).where(
+            F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+        ),
+        "questions",
+    )
+    sizes = asked.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n"))
+    for size, n in sorted(tuple(r) for r in sizes.collect()):  # a row per length
+        blocks = -(-n * max(size, 1) * 8 // question_bytes)
+        block = F.pmod(F.xxhash64("key", "vector"), F.lit(blocks))
+        for i in range(blocks):
+            rows = asked.where((F.size("vector") == size) & (block == i)).collect()
+            if rows:
+                yield [r[0] for r in rows], _scorer(np.array([r[1] for r in rows], "float64").T, size)
+
+
+def _scorer(asked: np.ndarray, size: int) -> Scorer:
+    with np.errstate(invalid="ignore"):
+        asked = asked / np.linalg.norm(asked, axis=0)
 
     def cosines(batch: pa.RecordBatch) -> np.ndarray:
-        flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-        if len(flat) != batch.num_rows * size:
-            raise ValueError(f"every vector must have {size} elements")
-        own = flat.reshape(-1, size).astype("float64")
+        column = batch.column(1)
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+        fits = lengths == size
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+        own = np.full((batch.num_rows, size), np.nan)
+        own[fits] = flat[np.repeat(fits, lengths)].reshape(-1, size)
         length = np.linalg.norm(own, axis=1)
         # A vector of zeros points nowhere: its cosine is missing.
         length[length == 0] = np.nan
         return own @ asked / length[:, None]
 
-    return [r[0] for r in rows], cosines
+    return cosines
+
+
+def _each_block(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
+    """The blocks' results together; more than one are written first, so that no task
+    holds more than one block of questions."""
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.unionByName, [materialise(p, "scores") for p in parts], empty)
 
 
 def _score_schema(
@@ -86,13 +114,21 @@ def score_all(
     base_vector: str,
     question_key: str,
     question_vector: str,
+    question_bytes: int = QUESTION_BYTES,
 ) -> DataFrame:
-    """(base_key, question_key, score): cosine of every base vector with each of the
-    few question vectors, in one narrow pass over the base."""
+    """(base_key, question_key, score): cosine of every base vector with each question
+    vector, in one narrow pass over the base per block of questions."""
     schema = _score_schema(base, questions, base_key, question_key)
-    keys, cosines = _scorer(questions, question_key, question_vector)
     arrow = to_arrow_schema(schema)
+    vectors = _vectors(base, base_key, base_vector)
+    parts = [
+        vectors.mapInArrow(_score_block(keys, cosines, arrow), schema)
+        for keys, cosines in _scorers(questions, question_key, question_vector, question_bytes)
+    ]
+    return _each_block(parts, base.sparkSession.createDataFrame([], schema))
+
 
+def _score_block(keys: list, cosines: Scorer, arrow: pa.Schema) -> Callable:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = cosines(batch)
@@ -102,7 +138,7 @@ def score_all(
             score = pa.array(scores.ravel(), from_pandas=True)
             yield pa.RecordBatch.from_arrays([own, asked, score], schema=arrow)
 
-    return _vectors(base, base_key, base_vector).mapInArrow(score, schema)
+    return score
 
 
 def best_per_question(scores: DataFrame, question_key: str, base_key: str, k: int) -> DataFrame:
@@ -122,13 +158,23 @@ def cosine_topk(
     base_vector: str,
     question_key: str,
     question_vector: str,
+    question_bytes: int = QUESTION_BYTES,
 ) -> DataFrame:
     """Exact nearest vectors. Each task hands on its `k` best per question only, so
-    the exchange carries tasks x questions x k rows however large the base is."""
+    the exchange carries tasks x questions x k rows however large the base is. Questions
+    beyond `question_bytes` take further passes."""
     schema = _score_schema(base, questions, base_key, question_key)
-    keys, cosines = _scorer(questions, question_key, question_vector)
     arrow = to_arrow_schema(schema)
+    vectors = _vectors(base, base_key, base_vector)
+    parts = [
+        vectors.mapInArrow(_nearest_block(keys, cosines, arrow, k), schema)
+        for keys, cosines in _scorers(questions, question_key, question_vector, question_bytes)
+    ]
+    near = _each_block(parts, base.sparkSession.createDataFrame([], schema))
+    return best_per_question(near, question_key, base_key, k)
+
 
+def _nearest_block(keys: list, cosines: Scorer, arrow: pa.Schema, k: int) -> Callable:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
@@ -156,8 +202,7 @@ def cosine_topk(
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    near = _vectors(base, base_key, base_vector).mapInArrow(nearest, schema)
-    return best_per_question(near, question_key, base_key, k)
+    return nearest
 
 
 def ann_topk(
@@ -181,7 +226,7 @@ def ann_topk(
     asked = questions.select(
         named(question_key), named(question_vector).cast("array<double>").alias("_qv")
     )
-    asked = questions.sparkSession.createDataFrame(few_rows(asked), asked.schema)
+    asked = materialise(asked.where(F.col("_qv").isNotNull()), "questions")
     own = _vectors(base, base_key, base_vector).select(
         named(base_key), named(base_vector).alias("_bv")
     )
@@ -193,8 +238,7 @@ def ann_topk(
     ).fit(hashed_questions)
     b = _bucketed(model.transform(hashed_base), [base_key, "_bv"], "_bh")
     q = _bucketed(model.transform(hashed_questions), [question_key, "_qv"], "_qh")
-    # At most MAX_QUESTIONS x tables rows, counted above.
-    met = b.join(F.broadcast(q), ["table", "bucket"])
+    met = b.join(q, ["table", "bucket"])
     earlier = F.exists(
         F.arrays_zip(
             F.slice("_bh", F.lit(1), F.col("table")).alias("b"),
@@ -217,9 +261,13 @@ def _bucketed(hashed: DataFrame, keep: list[str], name: str) -> DataFrame:
 
 
 def attach_texts(near: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Texts of the nearest vectors. `near` comes from a top-k over counted questions,
-    so it holds at most MAX_QUESTIONS x k rows and the texts stay where they are."""
-    return texts.join(F.broadcast(near), key)
+    """Every row of `near` with the columns of its text; null where there is none. Texts
+    stay where they are as long as the keys asked for are few, which is counted."""
+    near = materialise(near, "near")
+    keys = near.select(named(key)).distinct()
+    few = near.count() <= BROADCAST_ROWS
+    found = texts.join(F.broadcast(keys) if few else keys, key, "left_semi")
+    return near.join(found, key, "left")
 
 
 def assemble_context(
@@ -232,7 +280,7 @@ def assemble_context(
     template: str = "%s\n\nGiven the context:\n%s",
 ) -> DataFrame:
     """(question_key, prompt): the question with its chunks in rank order."""
-    ordered = F.array_sort(F.collect_list(F.struct(named(rank).alias("r"), named(chunk_text).alias("t"))))
+    ordered = F.array_sort(F.collect_list(F.struct(named(rank).alias("r"), F.coalesce(named(chunk_text), F.lit("")).alias("t"))))
     context = retrieved.groupBy(named(question_key)).agg(
         F.concat_ws("\n\n", F.transform(ordered, lambda c: c["t"])).alias("context")
     )

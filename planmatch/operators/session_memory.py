@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from planmatch.operators.ranking import value_positions
-from planmatch.sources.storage import materialise, scratch_path
+from planmatch.sources.storage import scratch_path
 
 # Fixed value: average weight per turn from which a label is worth remembering.
 MEMORY_SHARE = 0.2
@@ -136,8 +136,9 @@ def session_fold(
 
     Each turn depends on the one before, so a conversation is folded in order. A
     group never holds more than `turns_per_block` turns: longer conversations go
-    on in further rounds from their written state, while the others are done
-    after the first. Ordinary data needs one round.
+    on in further rounds from their newest written state, however many turn numbers
+    are missing in between, so the size of a block changes no result. Ordinary data
+    needs one round.
     """
     spark = weights.sparkSession
     items = weights.groupBy("conv_id", "turn_no").agg(
@@ -150,10 +151,13 @@ def session_fold(
         F.col("level").cast("int").alias("level"),
         F.coalesce("items", F.array().cast(ITEMS)).alias("items"),
     )
-    last = levels.agg(F.max("turn_no")).first()[0]
-    rounds = 1 if last is None else last // turns_per_block + 1
-    if rounds > 1:
-        turns = materialise(turns, "turns")
+    # One number per block that occurs.
+    block_of = F.floor(F.col("turn_no") / turns_per_block).cast("int")
+    blocks = sorted(r[0] for r in levels.select(block_of).distinct().collect()) or [0]
+    if len(blocks) > 1:
+        path = scratch_path(spark, "turns")
+        turns.write.partitionBy("block").parquet(path)
+        turns = spark.read.schema(turns.schema).parquet(path)
 
     state_type = f"struct<chat_length:int,items:{ITEMS}>"
     fresh = F.struct(
@@ -161,13 +165,14 @@ def session_fold(
     ).cast(state_type)
     ordered = F.array_sort(F.collect_list(F.struct("turn_no", "level", "items"))).alias("turns")
     states: list[str] = []
-    for block in range(rounds):
-        mine = turns.where(F.col("block") == block) if rounds > 1 else turns
+    for block in blocks:
+        mine = turns.where(F.col("block") == block) if len(blocks) > 1 else turns
         grouped = mine.groupBy("conv_id").agg(ordered)
         if states:
-            before = spark.read.schema(folded.schema).parquet(states[-1])
-            grouped = grouped.join(before.select("conv_id", "state"), "conv_id")
-            start = F.col("state")
+            written = spark.read.schema(folded.schema).parquet(*states)
+            before = written.groupBy("conv_id").agg(F.max_by("state", "block").alias("state"))
+            grouped = grouped.join(before, "conv_id", "left")
+            start = F.coalesce("state", fresh)
         else:
             start = fresh
         folded = grouped.select(
@@ -175,7 +180,7 @@ def session_fold(
             F.lit(block).alias("block"),
             F.aggregate("turns", start, _next_state).alias("state"),
         )
-        if rounds == 1:
+        if len(blocks) == 1:
             return folded.select("conv_id", "state.*")
         states.append(scratch_path(spark, "state"))
         folded.write.parquet(states[-1])

@@ -168,7 +168,8 @@ SELECT conv_id, chat_length, rk, item.label AS label, round(item.weight, 6) AS w
 
 
 ORACLE: dict[str, str] = {
-    "scan_catalog_csv": "SELECT * FROM part",
+    "scan_catalog_csv": """SELECT * REPLACE (' a "' || p_name || '",' || chr(10) || 'b, ' || p_name || ' ' AS p_name)
+        FROM part""",
     "scan_documents": """SELECT lang, source, count(*) AS n, sum(length(text))::BIGINT AS length
         FROM documents GROUP BY lang, source""",
     "classifier_response": f"WITH {SCORES} SELECT request_id, col, score FROM scores",
@@ -270,8 +271,8 @@ ORACLE: dict[str, str] = {
         {chunk_rows("chosen", "chunks")}""",
     "cosine_topk": f"WITH {NEAREST} SELECT vec_id, label, round(score, 6) AS score, rank FROM nearest",
     "assemble_context": f"""WITH {NEAREST},
-        context AS (SELECT label, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context
-            FROM nearest JOIN documents ON vec_id = doc_id GROUP BY label)
+        context AS (SELECT label, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context
+            FROM nearest LEFT JOIN documents ON vec_id = doc_id GROUP BY label)
         SELECT label, 'What is said about topic ' || label || '?' || chr(10) || chr(10)
             || 'Given the context:' || chr(10) || coalesce(context, '') AS prompt
         FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN context USING (label)""",

@@ -40,10 +40,13 @@ def query(run: Query) -> Query:
 
 @query
 def scan_catalog_csv(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part")
+    """Names with quotes, commas, outer blanks and line breaks come back as they were."""
+    part = table(spark, sf, "part").withColumn(
+        "p_name", F.concat(F.lit(' a "'), "p_name", F.lit('",\nb, '), "p_name", F.lit(" "))
+    )
     path = scratch_path(spark, "catalog")
     catalog.write_catalog(part, path)
-    return catalog.read_catalog(spark, path, part.schema)
+    return catalog.read_catalog(spark, path, part.schema, multi_line=True)
 
 
 @query

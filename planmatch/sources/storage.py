@@ -15,7 +15,8 @@ _OWN_ROOT: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; a folder of our own only where none is set (tests)."""
+    """`spark.checkpoint.dir`. Where none is set, a temporary folder, but only in one JVM:
+    executors elsewhere would each write to a disk of their own."""
     context = spark.sparkContext
     setting = "spark.checkpoint.dir"
     root = (
@@ -25,6 +26,8 @@ def scratch_root(spark: SparkSession) -> str:
     )
     if root:
         return root.rstrip("/")
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = tempfile.mkdtemp(prefix="planmatch-")
@@ -58,6 +61,4 @@ def explosion_tasks(df: DataFrame) -> int:
     input size would leave one task with everything."""
     spark = df.sparkSession
     cores = 2 * spark.sparkContext.defaultParallelism
-    if spark.sparkContext.master.startswith("local"):
-        return cores
     return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))

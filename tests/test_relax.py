@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from planmatch.functions.predicates import Condition
+from planmatch.functions.predicates import Condition, conjunction
 from planmatch.operators import relax_batch as rb
 from planmatch.operators.close_match import close_values
 from planmatch.operators.relax import drop_conditions_on, label_ranks, relax_single
@@ -206,6 +206,28 @@ def test_bad_requests_become_errors(spark):
     }
 
 
+def test_operators_that_do_not_suit_a_column_become_errors(spark):
+    catalog = spark.createDataFrame([(1, "Yes", 2.0)], "key long, combined string, price double")
+    constraints = spark.createDataFrame(
+        [(1, 0, "combined", ">=", ["20"]), (2, 0, "price", ">=", ["1"]), (3, 0, "price", "~", ["1"])],
+        "request_id long, ord int, col string, op string, values array<string>",
+    )
+    valid, errors = rb.split_requests(constraints, catalog.columns, catalog.schema)
+    assert [r["request_id"] for r in valid.collect()] == [2]
+    assert {r["request_id"]: r["error"] for r in errors.collect()} == {
+        1: ">= does not suit column: combined",
+        3: "~ does not suit column: price",
+    }
+
+
+def test_text_compared_with_a_number(spark):
+    catalog = spark.createDataFrame([(1, "Yes", 5), (2, "30", 5), (3, None, 9007199254740993)], "key long, combined string, n long")
+    kept = catalog.where(conjunction([Condition("combined", ">=", 20)]))
+    assert [r["key"] for r in kept.collect()] == [2]
+    assert [r["key"] for r in catalog.where(conjunction([Condition("n", "=", 9007199254740993)])).collect()] == [3]
+    assert catalog.where(conjunction([Condition("n", "=", 9007199254740992)])).count() == 0
+
+
 def test_rendered_query_keeps_order(spark):
     constraints = spark.createDataFrame(
         [

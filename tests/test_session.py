@@ -68,6 +68,15 @@ def test_fold_equals_sequential(spark, sessions, block):
     assert got == {c: sequential(turns) for c, turns in sessions.items()}
 
 
+@pytest.mark.parametrize("block", [1, 2, 10_000])
+def test_gaps_between_turns_change_nothing(spark, block):
+    weights = [(1, 0, "a", 0.5), (1, 5, "b", 0.66), (2, 3, "c", 0.1), (1, 900, "a", 0.2)]
+    w = spark.createDataFrame(weights, "conv_id long, turn_no int, label string, weight double")
+    levels = spark.createDataFrame([(c, t, 9) for c, t, _, _ in weights], "conv_id long, turn_no int, level int")
+    got = {r["conv_id"]: (r["chat_length"], [x["label"] for x in r["items"]]) for r in memory.session_fold(w, levels, block).collect()}
+    assert got == {1: (3, ["b", "a"]), 2: (1, ["c"])}
+
+
 def test_turn_numbers(spark):
     rows = [(1, 4), (1, 2), (1, 9), (2, 0)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long")

@@ -8,14 +8,16 @@ import os
 import random
 import tempfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from planmatch.operators import retrieval, shaping
 from planmatch.operators.joins import join_back
 from planmatch.operators.ranking import exact_quantiles, rank_all, value_positions
 from planmatch.plans import queries
-from planmatch.sources import catalog, documents
+from planmatch.sources import catalog, documents, storage
 
 
 @pytest.fixture(scope="module")
@@ -141,9 +143,84 @@ def test_join_back_splits_hot_keys(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_few_questions_are_counted(spark):
+@pytest.mark.parametrize("questions,question_bytes", [(300, 16_000_000), (1000, 40_000), (3, 1)])
+def test_any_number_of_questions(spark, questions, question_bytes):
+    rng = np.random.default_rng(questions)
+    base, asked = rng.normal(size=(60, 5)), rng.normal(size=(questions, 5))
+    b = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "id long, v array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "q long, w array<double>")
+    got = retrieval.cosine_topk(b, q, 2, "id", "v", "q", "w", question_bytes=question_bytes).collect()
+    cosines = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ (base / np.linalg.norm(base, axis=1)[:, None]).T
+    want = {(j, r + 1): int(i) for j, row in enumerate(cosines) for r, i in enumerate(np.argsort(-row)[:2])}
+    assert {(r["q"], r["rank"]): r["id"] for r in got} == want
+
+
+def test_vectors_that_do_not_fit(spark):
+    b = spark.createDataFrame(
+        [(0, [1.0, 0.0]), (1, [1.0, 0.0, 5.0]), (2, [3.0]), (3, None), (4, [None, 1.0]), (5, [0.0, 0.0]), (6, [0.0, 2.0])],
+        "id long, v array<double>",
+    )
+    q = spark.createDataFrame([(0, [2.0, 0.0]), (1, None), (2, [1.0, None]), (3, [0.0, 0.0, 1.0])], "q long, w array<double>")
+    got = {(r["q"], r["id"]): r["score"] for r in retrieval.score_all(b, q, "id", "v", "q", "w").collect()}
+    assert {k: round(v, 6) for k, v in got.items() if v is not None} == {(0, 0): 1.0, (0, 6): 0.0, (3, 1): round(5 / 26**0.5, 6)}
+    assert {k[0] for k in got} == {0, 3}
+    assert retrieval.cosine_topk(b, q.limit(0), 2, "id", "v", "q", "w").count() == 0
+    assert retrieval.cosine_topk(b, q.where("w IS NULL"), 2, "id", "v", "q", "w").count() == 0
+
+
+def test_hits_without_text_stay(spark):
+    near = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3)], "q long, id long, rank int")
+    texts = spark.createDataFrame([(1, "one"), (3, "three")], "id long, text string")
+    asked = spark.createDataFrame([(7, "what?")], "q long, question string")
+    hits = retrieval.attach_texts(near, texts, "id")
+    assert sorted((r["rank"], r["text"]) for r in hits.collect() if r["text"]) == [(1, "one"), (3, "three")]
+    assert hits.count() == 3
+    found = retrieval.assemble_context(hits, asked, "q", "question", "text").first()["prompt"]
+    assert found.endswith("one\n\n\n\nthree")
+
+
+@pytest.mark.parametrize("values_per_range", [200_000, 7])
+def test_positions_of_texts_and_odd_numbers(spark, values_per_range):
+    numbers = [float(i % 23) for i in range(80)] + [float("nan"), float("inf"), float("-inf"), float("inf"), None]
+    frame = spark.createDataFrame([(v, None if v is None else f"t{v}") for v in numbers], "v double, t string")
+    for name, key in (("v", lambda x: (x != x, x)), ("t", lambda x: x)):
+        kept = sorted((r[0] for r in frame.select(name).collect() if r[0] is not None), key=key)
+        want = {}
+        for i, x in enumerate(kept):
+            want.setdefault(str(x), i)
+        got = value_positions(frame, name, values_per_range=values_per_range).collect()
+        assert {str(r[name]): r["before"] for r in got} == want
+
+
+def test_quantiles_of_the_group_without_key(spark):
+    frame = spark.createDataFrame([(None, 1.0), (None, 3.0), (1, 5.0)], "g long, v double")
+    got = {r["g"]: r["half"] for r in exact_quantiles(frame, "v", {"half": 0.5}, ["g"]).collect()}
+    assert got == {None: 2.0, 1: 5.0}
+
+
+def test_catalog_rows_that_do_not_fit_are_set_aside(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('name,n\n"a ""b"", c",1\nd,two\n')
+    schema = "name string, n int"
+    read = catalog.read_catalog(spark, str(tmp_path / "c.csv"), T.StructType.fromDDL(schema), bad="_bad").collect()
+    assert [(r["name"], r["n"]) for r in read if r["_bad"] is None] == [('a "b", c', 1)]
+    assert [r["_bad"] for r in read if r["_bad"] is not None] == ["d,two"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://somewhere", "a"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
     with pytest.raises(ValueError):
-        retrieval.few_rows(spark.range(300))
+        storage.scratch_root(Session())
 
 
 def test_approximate_recall(spark, sf_dir):

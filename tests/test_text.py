@@ -74,6 +74,12 @@ def test_classifier_reply_first_element(spark):
     assert got == [(1, "a", 0.9), (1, "b", 0.1)]
 
 
+def test_very_long_names(spark):
+    names = ["x" * 100_000, "it" + "y" * 50_000]
+    assert one(spark, parse_name_list(F.col("t")), t=str(names)) == names
+    assert one(spark, parse_name_list(F.col("t")), t=str(names)[:-2]) is None
+
+
 def test_names_with_blanks_and_brackets(spark):
     df = spark.createDataFrame([(24,), (8,), (None,)], "`Local Data(GB)` long")
     cond = Condition("Local Data(GB)", ">=", 20)
