@@ -110,7 +110,7 @@ def answer_envelopes(spark: SparkSession, sf: str) -> DataFrame:
     customer = table(spark, sf, "customer")
     requests, relevance = inputs.requests(customer), inputs.relevance(customer)
     valid, errors = relax_batch.split_requests(
-        inputs.constraints(customer), inputs.CATALOG_COLUMNS
+        inputs.constraints(customer), inputs.CATALOG_COLUMNS, table(spark, sf, "part").schema
     )
     answers = _relaxed(spark, sf, valid)
     kept = relax_batch.drop_conditions(valid, relax_batch.dropped_columns(relevance, answers))
