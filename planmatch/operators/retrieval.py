@@ -221,7 +221,8 @@ def ann_topk(
     bucket with a question are scored.
 
     The join is on (table, bucket). A pair met in several tables is scored in the
-    first one only, so no distinct over pairs is needed.
+    first one only, so no distinct over pairs is needed. Questions that meet fewer than `k`
+    vectors are answered by `cosine_topk`; column `exact` tells which.
     """
     asked = questions.select(
         named(question_key), named(question_vector).cast("array<double>").alias("_qv")
@@ -249,7 +250,17 @@ def ann_topk(
     scores = met.where(~earlier).select(
         named(base_key), named(question_key), cosine(F.col("_bv"), F.col("_qv")).alias("score")
     )
-    return best_per_question(scores, question_key, base_key, k)
+    near = materialise(best_per_question(scores, question_key, base_key, k), "near")
+    full = near.groupBy(named(question_key)).count().where(F.col("count") >= k)
+    lacking = materialise(asked.join(full, question_key, "left_anti"), "lacking")
+    if lacking.isEmpty():
+        return near.withColumn("exact", F.lit(False))
+    rest = cosine_topk(base, lacking, k, base_key, base_vector, question_key, "_qv")
+    return (
+        near.join(full, question_key, "left_semi")
+        .withColumn("exact", F.lit(False))
+        .unionByName(rest.withColumn("exact", F.lit(True)))
+    )
 
 
 def _bucketed(hashed: DataFrame, keep: list[str], name: str) -> DataFrame:

@@ -136,18 +136,13 @@ weights AS (SELECT conv_id, turn_no, label, round((length(lower(text))
     FROM turns, {LETTERS} WHERE length(text) > 0),
 heavy AS (SELECT * FROM weights WHERE weight > 0)"""
 
-FOLLOW_UP = f"""{TURNS},
-merged AS (SELECT conv_id, label, sum(weight) AS weight FROM heavy WHERE turn_no <= 1 GROUP BY conv_id, label),
-ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight, label) AS rk FROM merged),
-memory AS (SELECT conv_id, min(CASE WHEN weight / 2 >= 0.2 AND rk - 1 <= length(text) % 4 THEN rk END) AS memory
-    FROM ordered JOIN turns USING (conv_id) WHERE turn_no = 1 GROUP BY conv_id)"""
-
 
 def weight_in(items: str) -> str:
     return f"coalesce(list_filter({items}, lambda x: x.label = l)[1].weight, 0)"
 
 
-SESSION = f"""WITH RECURSIVE {TURNS},
+# Needs WITH RECURSIVE.
+FOLD = f"""{TURNS},
 lists AS (SELECT conv_id, turn_no, list({{'weight': weight, 'label': label}} ORDER BY weight, label) AS items
     FROM heavy GROUP BY conv_id, turn_no),
 told AS (SELECT conv_id, turn_no, length(text) % 4 AS level, coalesce(items, []) AS items
@@ -160,12 +155,25 @@ fold AS (
     FROM (SELECT t.conv_id, t.turn_no, t.level, list_sort(list_transform(list_distinct(
             list_transform(f.items, lambda x: x.label) || list_transform(t.items, lambda x: x.label)),
             lambda l: {{'weight': {weight_in("f.items")} + {weight_in("t.items")}, 'label': l}})) AS m
-        FROM fold f JOIN told t ON t.conv_id = f.conv_id AND t.turn_no = f.turn_no + 1)),
+        FROM fold f JOIN told t ON t.conv_id = f.conv_id AND t.turn_no = f.turn_no + 1))"""
+
+SESSION = f"""WITH RECURSIVE {FOLD},
 final AS (SELECT * FROM fold QUALIFY turn_no = max(turn_no) OVER (PARTITION BY conv_id))
 SELECT conv_id, chat_length, rk, item.label AS label, round(item.weight, 6) AS weight FROM (
     SELECT conv_id, turn_no + 1 AS chat_length, unnest(range(1, len(items) + 1)) AS rk,
         unnest(items) AS item FROM final)"""
 
+EVERY_TURN = f"""RECURSIVE {FOLD},
+stored AS (SELECT conv_id, turn_no + 1 AS turn_no, unnest(items) AS item FROM fold),
+merged AS (SELECT conv_id, turn_no, label, sum(weight) AS weight FROM (
+        SELECT conv_id, turn_no, label, weight FROM heavy
+        UNION ALL SELECT conv_id, turn_no, item.label, item.weight FROM stored JOIN turns USING (conv_id, turn_no))
+    GROUP BY conv_id, turn_no, label),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn_no ORDER BY weight, label) AS rk FROM merged),
+memory AS (SELECT conv_id, turn_no, min(CASE WHEN turn_no > 0 AND weight / (turn_no + 1) >= 0.2
+        AND rk - 1 <= length(text) % 4 THEN rk END) AS memory
+    FROM ordered JOIN turns USING (conv_id, turn_no) GROUP BY conv_id, turn_no)"""
+
 
 ORACLE: dict[str, str] = {
     "scan_catalog_csv": """SELECT * REPLACE (' a "' || p_name || '",' || chr(10) || 'b, ' || p_name || ' ' AS p_name)
@@ -270,18 +278,23 @@ ORACLE: dict[str, str] = {
             THEN {WINDOW_TEXTS.format(w=windows("words", 400, 20))} ELSE chunks END AS chunks FROM flagged)
         {chunk_rows("chosen", "chunks")}""",
     "cosine_topk": f"WITH {NEAREST} SELECT vec_id, label, round(score, 6) AS score, rank FROM nearest",
+    "ann_recall": f"WITH {NEAREST} SELECT label, count(*) AS n_found, true AS reached FROM nearest GROUP BY label",
     "assemble_context": f"""WITH {NEAREST},
         context AS (SELECT label, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context
             FROM nearest LEFT JOIN documents ON vec_id = doc_id GROUP BY label)
         SELECT label, 'What is said about topic ' || label || '?' || chr(10) || chr(10)
             || 'Given the context:' || chr(10) || coalesce(context, '') AS prompt
         FROM (SELECT DISTINCT label FROM embeddings) LEFT JOIN context USING (label)""",
-    "merge_weights": f"WITH {FOLLOW_UP} SELECT conv_id, label, round(weight, 6) AS weight FROM merged",
-    "order_weights": f"WITH {FOLLOW_UP} SELECT conv_id, label, round(weight, 6) AS weight, rk FROM ordered",
-    "memory_point": f"WITH {FOLLOW_UP} SELECT conv_id, memory FROM memory",
-    "truncate_memory": f"""WITH {FOLLOW_UP}
-        SELECT conv_id, label, round(weight, 6) AS weight, rk, 2 AS chat_length
-        FROM ordered JOIN memory USING (conv_id) WHERE rk >= coalesce(memory, 1)""",
+    "merge_weights": f"WITH {EVERY_TURN} SELECT conv_id, turn_no, label, round(weight, 6) AS weight FROM merged",
+    "order_weights": f"WITH {EVERY_TURN} SELECT conv_id, turn_no, label, round(weight, 6) AS weight, rk FROM ordered",
+    "memory_point": f"WITH {EVERY_TURN} SELECT conv_id, turn_no, memory FROM memory",
+    "truncate_memory": f"""WITH {EVERY_TURN}
+        SELECT conv_id, turn_no, label, round(weight, 6) AS weight, rk, turn_no + 1 AS chat_length
+        FROM ordered JOIN memory USING (conv_id, turn_no) WHERE rk >= coalesce(memory, 1)""",
+    "remembered_conditions": f"""WITH {EVERY_TURN}
+        SELECT conv_id, turn_no, label AS col, h.weight AS value FROM heavy h
+            JOIN ordered USING (conv_id, turn_no, label) JOIN memory USING (conv_id, turn_no)
+        WHERE rk >= coalesce(memory, 1)""",
     "session_fold": SESSION,
     "session_stream": SESSION,
     "q_match": """WITH leveled AS (SELECT *, greatest(CASE WHEN p_size <= 0 THEN 0 ELSE 1 END,
@@ -296,7 +309,7 @@ ORACLE: dict[str, str] = {
     "q_argmin_group": """SELECT p_brand, p_retailprice FROM part WHERE p_type = 'ECONOMY'
         ORDER BY p_retailprice, p_partkey LIMIT 1""",
     "q_avg_where": """SELECT o_orderpriority, round(avg(o_totalprice), 6) AS average, count(*) AS n
-        FROM orders GROUP BY o_orderpriority""",
+        FROM orders WHERE o_totalprice >= 100000 GROUP BY o_orderpriority""",
     "q_budget_near": """SELECT round(min(c_acctbal), 6) AS low,
             round(quantile_cont(c_acctbal, 0.25), 6) AS q25, round(quantile_cont(c_acctbal, 0.5), 6) AS median,
             round(quantile_cont(c_acctbal, 0.75), 6) AS q75, round(max(c_acctbal), 6) AS high

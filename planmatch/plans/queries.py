@@ -478,6 +478,27 @@ def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Per question how many rows the approximate search found, and whether it reached nine
+    tenths of the exact ones."""
+    exact, near = _nearest(spark, sf, 5), ann_topk(spark, sf)
+    found = near.groupBy("label").agg(F.count(F.lit(1)).alias("n_found"))
+    hits = exact.join(near, ["label", "vec_id"], "left_semi").groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_hit")
+    )
+    total = exact.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        total.join(found, "label", "left")
+        .join(hits, "label", "left")
+        .select(
+            "label",
+            F.coalesce("n_found", F.lit(0)).alias("n_found"),
+            (10 * F.coalesce("n_hit", F.lit(0)) >= 9 * F.col("n")).alias("reached"),
+        )
+    )
+
+
 @query
 def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
     """A question per label; the text of a vector is the document of the same number."""
@@ -508,43 +529,56 @@ def _session(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return weights, levels
 
 
-def _first_follow_up(spark: SparkSession, sf: str):
-    weights, levels = _session(spark, sf)
-    stored = weights.where(F.col("turn_no") == 0)
-    current = weights.where(F.col("turn_no") == 1)
-    turns = levels.where(F.col("turn_no") == 1).select(
-        "conv_id", F.lit(1).alias("chat_length"), "level"
-    )
-    ordered = memory.order_weights(memory.merge_weights(current, stored))
-    return current, stored, turns, ordered
+EVERY_TURN = ("conv_id", "turn_no")
+
+
+def _every_turn(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(current, stored, turns, ordered) of every turn of every conversation."""
+    current, levels = _session(spark, sf)
+    history = memory.session_history(current, levels)
+    # The state after the last turn waits for a turn that has not come.
+    stored = memory.stored_weights(history).join(levels.select(*EVERY_TURN), list(EVERY_TURN), "left_semi")
+    turns = levels.select(*EVERY_TURN, F.col("turn_no").alias("chat_length"), "level")
+    merged = memory.merge_weights(current, stored, EVERY_TURN)
+    return current, stored, turns, memory.order_weights(merged, EVERY_TURN)
 
 
 @query
 def merge_weights(spark: SparkSession, sf: str) -> DataFrame:
-    current, stored, _, _ = _first_follow_up(spark, sf)
-    merged = memory.merge_weights(current, stored)
+    current, stored, _, _ = _every_turn(spark, sf)
+    merged = memory.merge_weights(current, stored, EVERY_TURN)
     return merged.withColumn("weight", F.round("weight", 6))
 
 
 @query
 def order_weights(spark: SparkSession, sf: str) -> DataFrame:
-    *_, ordered = _first_follow_up(spark, sf)
+    *_, ordered = _every_turn(spark, sf)
     return ordered.withColumn("weight", F.round("weight", 6))
 
 
 @query
 def memory_point(spark: SparkSession, sf: str) -> DataFrame:
-    *_, turns, ordered = _first_follow_up(spark, sf)
-    return memory.memory_point(ordered, turns)
+    *_, turns, ordered = _every_turn(spark, sf)
+    return memory.memory_point(ordered, turns, EVERY_TURN)
 
 
 @query
 def truncate_memory(spark: SparkSession, sf: str) -> DataFrame:
-    *_, turns, ordered = _first_follow_up(spark, sf)
-    kept = memory.truncate_memory(ordered, memory.memory_point(ordered, turns), turns)
+    *_, turns, ordered = _every_turn(spark, sf)
+    point = memory.memory_point(ordered, turns, EVERY_TURN)
+    kept = memory.truncate_memory(ordered, point, turns, EVERY_TURN)
     return kept.withColumn("weight", F.round("weight", 6))
 
 
+@query
+def remembered_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """A turn asks for one condition per label it weighs."""
+    current, _, turns, ordered = _every_turn(spark, sf)
+    asked = current.select(*EVERY_TURN, F.col("label").alias("col"), F.col("weight").alias("value"))
+    point = memory.memory_point(ordered, turns, EVERY_TURN)
+    return memory.remembered_conditions(asked, ordered, point, EVERY_TURN)
+
+
 @query
 def session_fold(spark: SparkSession, sf: str) -> DataFrame:
     states = memory.session_fold(*_session(spark, sf))
@@ -601,7 +635,12 @@ def q_argmin_group(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def q_avg_where(spark: SparkSession, sf: str) -> DataFrame:
-    return workload.average_by(table(spark, sf, "orders"), "o_orderpriority", "o_totalprice")
+    return workload.average_where(
+        table(spark, sf, "orders"),
+        [Condition("o_totalprice", ">=", 100000.0)],
+        "o_orderpriority",
+        "o_totalprice",
+    )
 
 
 @query

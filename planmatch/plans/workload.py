@@ -40,8 +40,8 @@ def area_of_cheapest(
     )
 
 
-def average_by(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.groupBy(named(by)).agg(
+def average_where(df: DataFrame, conds: Sequence[Condition], by: str, value: str) -> DataFrame:
+    return df.where(conjunction(conds)).groupBy(named(by)).agg(
         F.round(F.avg(named(value)), 6).alias("average"), F.count(F.lit(1)).alias("n")
     )
 
