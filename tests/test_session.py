@@ -77,6 +77,17 @@ def test_gaps_between_turns_change_nothing(spark, block):
     assert got == {1: (3, ["b", "a"]), 2: (1, ["c"])}
 
 
+@pytest.mark.parametrize("block", [10_000, 2])
+def test_history_is_the_fold_of_every_prefix(spark, sessions, block):
+    rows = memory.session_history(*frames(spark, sessions), turns_per_block=block).collect()
+    got = {
+        (r["conv_id"], r["turn_no"]): (r["chat_length"], [(x["label"], round(x["weight"], 9)) for x in r["items"]])
+        for r in rows
+    }
+    assert len(rows) == len(got)
+    assert got == {(c, t): sequential(turns[: t + 1]) for c, turns in sessions.items() for t in range(len(turns))}
+
+
 def test_turn_numbers(spark):
     rows = [(1, 4), (1, 2), (1, 9), (2, 0)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long")
