@@ -16,6 +16,7 @@ from planmatch.session import local_session
 HEADLINE = (
     "relax_single",
     "relax_batch",
+    "relax_batch_wide",
     "relax_level",
     "cosine_topk",
     "ann_topk",

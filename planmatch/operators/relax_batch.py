@@ -13,7 +13,10 @@ Requests and catalog both grow, so their product is never formed. Instead
    remaining conditions form a probe, and identical probes are handled once;
 4. a probe becomes a short list of node keys and finds its rows by equi-join.
 
-Work is (cells + probes) x a power of the logarithm of the number of constants.
+Work is (cells + probes) x a power of the logarithm of the number of constants. The power
+is the number of numeric columns constrained together; beyond two, listing every cell can
+cost more than comparing it with every distinct probe. Then the cheaper of the two is taken:
+the probes travel in weighed blocks to the cells, with equal results.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import inf, nextafter
+from math import inf, nextafter, prod
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +42,13 @@ from planmatch.sources.storage import explosion_tasks, materialise
 # Distinct constants per column that may be held as literals.
 INLINE_CONSTANTS = 4096
 
+# Numeric columns constrained together up to which cells are always listed under nodes.
+LISTED_AXES = 2
+# Comparisons of a cell with a probe that cost as much as one listed row.
+PAIRS_PER_LISTED_ROW = 20
+# Text of probes that travels with one pass over the cells.
+PROBE_BYTES = 2_000_000
+
 MAX_DOUBLE = sys.float_info.max
 
 
@@ -138,6 +148,7 @@ def relax_batch(
     n: int = 3,
     inline_constants: int = INLINE_CONSTANTS,
     broadcast_rows: int | None = None,
+    probe_bytes: int = PROBE_BYTES,
 ) -> DataFrame:
     """Per request: `level` (labels given up), `n_labels`, and `rows`, the best `n`
     qualifying rows by price as array<struct(pos, price, key, payload...)>; `rows`
@@ -161,8 +172,11 @@ def relax_batch(
     levels, probes = _probes(profiles, axes)
     # Which columns are constrained together: few rows, as there are few columns.
     masks = [r["m"] for r in probes.select(_mask(axes, "w").alias("m")).distinct().collect()]
-    nodes = _node_rows(cells, masks, axes, key, price, payload, n)
-    hits = _search(nodes, probes, axes, n)
+    best_cells = _best_cells(cells, axes, key, price, payload, n)
+    if _pairs_cost_less(masks, axes, probes):
+        hits = _compare(materialise(best_cells, "cells"), probes, axes, n, probe_bytes)
+    else:
+        hits = _search(_node_rows(best_cells, masks, axes, n), probes, axes, n)
 
     found = join_back(levels, hits, ["probe"], ["sig", "level"], **joins).groupBy("sig").agg(
         F.max("n_sig").alias("n"),
@@ -484,16 +498,10 @@ def _probes(profiles: DataFrame, axes: list[_Axis]) -> tuple[DataFrame, DataFram
     return exploded.drop(*wishes), probes
 
 
-def _node_rows(
-    cells: DataFrame,
-    masks: list[int],
-    axes: list[_Axis],
-    key: str,
-    price: str,
-    payload: Sequence[str],
-    n: int,
+def _best_cells(
+    cells: DataFrame, axes: list[_Axis], key: str, price: str, payload: Sequence[str], n: int
 ) -> DataFrame:
-    """The best `n` catalog rows under every combination of "any" and node per axis."""
+    """The best `n` catalog rows of each distinct cell."""
     sources = [f"c{a.index}" for a in axes]
     kept = cells.select(
         *sources,
@@ -503,27 +511,86 @@ def _node_rows(
             named(price).alias(price), named(key).alias(key), *[named(c) for c in payload]
         ).alias("row"),
     )
-    best = [F.col("_price").asc_nulls_last(), F.col("_key").asc()]
-    # Each cell is about to be listed many times: keep the tasks as many as a full
+    # Each cell is about to be met many times: keep the tasks as many as a full
     # shuffle has, however small the cells are on disk.
-    kept = _best(kept, sources, best, n).repartition(explosion_tasks(cells), "_key")
+    return _best(kept, sources, _by_price(), n).repartition(explosion_tasks(cells), "_key")
+
+
+def _by_price() -> list[Column]:
+    return [F.col("_price").asc_nulls_last(), F.col("_key").asc()]
+
+
+def _node_rows(kept: DataFrame, masks: list[int], axes: list[_Axis], n: int) -> DataFrame:
+    """The best `n` catalog rows under every node, for the column sets that are asked for:
+    a cell is listed once per mask, under nodes of that mask's columns only."""
+    missing = reduce(
+        lambda x, y: x + y,
+        [F.when(F.col(f"c{a.index}").isNull(), F.lit(1 << a.index)).otherwise(0) for a in axes],
+        F.lit(0),
+    ).cast("long")
+    asked = F.array(*[F.lit(m).cast("long") for m in masks or [0]])
+    kept = kept.withColumn("_missing", missing)
+    kept = kept.withColumn(
+        "mask", F.explode(F.filter(asked, lambda m: m.bitwiseAND(F.col("_missing")) == 0))
+    ).drop("_missing")
     for a in axes:
         have = F.col(f"c{a.index}")
         if a.numeric:
             nodes = ancestors(have, a.depth)
             if a.parity is not None:
                 nodes = F.filter(nodes, lambda x: x % 2 == a.parity)
-            options = F.concat(F.array(F.lit(None).cast("int")), nodes)
             none = F.array(F.lit(None).cast("int"))
         else:
-            options = F.array(F.lit(None).cast("string"), have)
+            nodes = F.array(have)
             none = F.array(F.lit(None).cast("string"))
-        options = F.when(have.isNull(), none).otherwise(options)
-        kept = kept.withColumn(a.key, F.explode(options)).drop(f"c{a.index}")
-    if len(masks) < 1 << len(axes):
-        kept = kept.where(_mask(axes, "k").isin(masks))
+        used = F.col("mask").bitwiseAND(F.lit(1 << a.index).cast("long")) != 0
+        kept = kept.withColumn(a.key, F.explode(F.when(used, nodes).otherwise(none)))
+        kept = kept.drop(f"c{a.index}")
     keys = [a.key for a in axes]
-    return _best(kept.withColumn("node", _node(axes)).drop(*keys), ["node"], best, n)
+    listed = kept.withColumn("node", _node(axes)).drop("mask", *keys)
+    return _best(listed, ["node"], _by_price(), n)
+
+
+def _pairs_cost_less(masks: list[int], axes: list[_Axis], probes: DataFrame) -> bool:
+    """Whether comparing a cell with every probe costs less than listing it. Both plans give
+    the same rows."""
+    together = [[a for a in axes if a.numeric and m >> a.index & 1] for m in masks]
+    if all(len(numeric) <= LISTED_AXES for numeric in together):
+        return False
+    listed = sum(prod(a.depth + 1 for a in numeric) for numeric in together)
+    return probes.count() <= PAIRS_PER_LISTED_ROW * listed
+
+
+def _compare(
+    cells: DataFrame, probes: DataFrame, axes: list[_Axis], n: int, probe_bytes: int
+) -> DataFrame:
+    """(probe, n, rows): every cell against the stated set of probes, which travels in blocks
+    of weighed text, one pass over the cells each."""
+    total = probes.agg(F.sum(F.octet_length("probe"))).first()[0] or 0
+    blocks = max(1, -(-total // probe_bytes))
+    asked = probes.select(
+        "probe",
+        "n",
+        *[f"w{a.index}" for a in axes],
+        F.pmod(F.xxhash64("probe"), F.lit(blocks)).alias("block"),
+    )
+    met = []
+    for block in range(blocks):
+        mine = F.broadcast(asked.where(F.col("block") == block).drop("block"))
+        meets = reduce(lambda x, y: x & y, [_meets(a) for a in axes])
+        pairs = cells.join(mine, meets).select("probe", "n", "_price", "_key", "row")
+        met.append(_top_rows(pairs, n))
+    return reduce(DataFrame.unionByName, met)
+
+
+def _meets(a: _Axis) -> Column:
+    """Whether a cell meets a probe's wish on one column."""
+    have, wish = F.col(f"c{a.index}"), F.col(f"w{a.index}")
+    listed = F.array_contains(wish["pts"], have)
+    if a.numeric:
+        inside = have.between(wish["lo"], wish["hi"])
+        listed = inside & (wish["pts"].isNull() | listed)
+    return wish.isNull() | listed
 
 
 def _node(axes: list[_Axis]) -> Column:
@@ -579,10 +646,12 @@ def _search(nodes: DataFrame, probes: DataFrame, axes: list[_Axis], n: int) -> D
         keys = F.when(wish.isNull(), none).otherwise(keys)
         asked = asked.withColumn(a.key, F.explode(keys)).drop(f"w{a.index}")
     keys = [a.key for a in axes]
-    met = asked.withColumn("node", _node(axes)).drop(*keys).join(nodes, "node")
-    place = F.row_number().over(
-        Window.partitionBy("probe").orderBy(F.col("_price").asc_nulls_last(), "_key")
-    )
+    return _top_rows(asked.withColumn("node", _node(axes)).drop(*keys).join(nodes, "node"), n)
+
+
+def _top_rows(met: DataFrame, n: int) -> DataFrame:
+    """(probe, n, rows): the best `n` rows met by each probe."""
+    place = F.row_number().over(Window.partitionBy("probe").orderBy(*_by_price()))
     top = met.withColumn("pos", place).where(F.col("pos") <= n)
     return top.groupBy("probe").agg(
         F.first("n").alias("n"),

@@ -79,12 +79,12 @@ def constraints(customer: DataFrame, close: bool = False) -> DataFrame:
     )
 
 
-def _condition(ord_: int, col: str, op: str, value: Column) -> Column:
+def _condition(ord_: int, col: str, op: str, *values: Column) -> Column:
     return F.struct(
         F.lit(ord_).alias("ord"),
         F.lit(col).alias("col"),
         F.lit(op).alias("op"),
-        F.array(value).alias("values"),
+        F.array(*values).alias("values"),
     )
 
 
@@ -106,6 +106,53 @@ def relevance(customer: DataFrame) -> DataFrame:
     ).select("request_id", "col", "score")
 
 
+# Columns that the wide requests constrain, in the order of the score arithmetic.
+WIDE_LABELS = (
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+    "l_linenumber",
+    "l_returnflag",
+    "l_linestatus",
+)
+
+
+def line_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `lineitem`, with one key column."""
+    parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return table(spark, sf_dir, "lineitem").withColumn("l_key", F.concat_ws("|", *parts))
+
+
+def wide_constraints(supplier: DataFrame) -> DataFrame:
+    """One request per supplier with wishes on five numeric columns and two flags; no line
+    has the status X."""
+    key = F.col("s_suppkey")
+
+    def pick(values: tuple[str, ...]) -> Column:
+        return F.get(F.array(*[F.lit(v) for v in values]), (key % len(values)).cast("int"))
+
+    conditions = F.array(
+        _condition(1, "l_quantity", ">=", (key % 5 * 10).cast("string")),
+        _condition(2, "l_extendedprice", "<=", ((key % 7 + 1) * 10000).cast("string")),
+        _condition(3, "l_discount", "between", pick(("0.0", "0.02", "0.04")), pick(("0.05", "0.07", "0.1"))),
+        _condition(4, "l_tax", "<=", pick(("0.02", "0.05"))),
+        _condition(5, "l_linenumber", ">", (key % 4).cast("string")),
+        _condition(6, "l_returnflag", "in", pick(("A", "N")), pick(("R", "N"))),
+        _condition(7, "l_linestatus", "=", pick(("X", "O", "F"))),
+    )
+    return supplier.select(key.alias("request_id"), F.inline(conditions))
+
+
+def wide_relevance(supplier: DataFrame) -> DataFrame:
+    key = F.col("s_suppkey")
+    scored = [
+        F.struct(F.lit(c).alias("col"), (((key * 31 + i * 17) % 100) / F.lit(100.0)).alias("score"))
+        for i, c in enumerate(WIDE_LABELS)
+    ]
+    return supplier.select(key.alias("request_id"), F.inline(F.array(*scored)))
+
+
 # ---------------------------------------------------------------- sessions
 
 # Label of each letter whose share in a turn is its weight.

@@ -55,6 +55,32 @@ answer AS (SELECT request_id, level, row_number() OVER (
 levels AS (SELECT r.request_id, coalesce(a.level, r.n_labels) AS level, a.level IS NULL AS is_empty
     FROM rks r LEFT JOIN (SELECT DISTINCT request_id, level FROM answer) a USING (request_id))"""
 
+# Conditions left at the level reached.
+KEPT = """
+kept AS (SELECT c.* FROM conditions c JOIN levels v USING (request_id)
+    LEFT JOIN ranked r ON r.request_id = c.request_id AND r.col = c.col AND r.rk <= v.level
+    WHERE r.col IS NULL)"""
+
+# Requests of suppliers on order lines: five numeric columns and two flags.
+WIDE = """
+scored AS (SELECT s_suppkey AS k, l.col, row_number() OVER (PARTITION BY s_suppkey
+        ORDER BY (s_suppkey * 31 + l.i * 17) % 100, l.col) AS rk
+    FROM supplier, (VALUES (0, 'q'), (1, 'p'), (2, 'd'), (3, 't'), (4, 'n'), (5, 'r'), (6, 's')) l(i, col)),
+rks AS (SELECT k, max(rk) FILTER (col = 'q') AS rq, max(rk) FILTER (col = 'p') AS rp,
+    max(rk) FILTER (col = 'd') AS rd, max(rk) FILTER (col = 't') AS rt, max(rk) FILTER (col = 'n') AS rn,
+    max(rk) FILTER (col = 'r') AS rr, max(rk) FILTER (col = 's') AS rs FROM scored GROUP BY k),
+pairs AS (SELECT k AS request_id, l.*, l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS l_key,
+    greatest(CASE WHEN l_quantity >= k % 5 * 10 THEN 0 ELSE rq END,
+        CASE WHEN l_extendedprice <= (k % 7 + 1) * 10000 THEN 0 ELSE rp END,
+        CASE WHEN l_discount BETWEEN [0.0::DOUBLE, 0.02::DOUBLE, 0.04::DOUBLE][k % 3 + 1]
+            AND [0.05::DOUBLE, 0.07::DOUBLE, 0.1::DOUBLE][k % 3 + 1] THEN 0 ELSE rd END,
+        CASE WHEN l_tax <= [0.02::DOUBLE, 0.05::DOUBLE][k % 2 + 1] THEN 0 ELSE rt END,
+        CASE WHEN l_linenumber > k % 4 THEN 0 ELSE rn END,
+        CASE WHEN l_returnflag IN (['A', 'N'][k % 2 + 1], ['R', 'N'][k % 2 + 1]) THEN 0 ELSE rr END,
+        CASE WHEN l_linestatus = ['X', 'O', 'F'][k % 3 + 1] THEN 0 ELSE rs END) AS level
+    FROM rks, lineitem l),
+best AS (SELECT * FROM pairs QUALIFY level = min(level) OVER (PARTITION BY request_id))"""
+
 # The type wish of the misspelt requests, and their test.
 RELAXED_CLOSE = (
     RELAXED.replace("coalesce(p_type = typ, false)", """coalesce(
@@ -181,20 +207,28 @@ ORACLE: dict[str, str] = {
     "scan_documents": """SELECT lang, source, count(*) AS n, sum(length(text))::BIGINT AS length
         FROM documents GROUP BY lang, source""",
     "classifier_response": f"WITH {SCORES} SELECT request_id, col, score FROM scores",
-    "result_envelope": f"""WITH {RELAXED},
-        kept AS (SELECT c.* FROM conditions c JOIN levels v USING (request_id)
-            LEFT JOIN ranked r ON r.request_id = c.request_id AND r.col = c.col AND r.rk <= v.level
-            WHERE r.col IS NULL),
+    "result_envelope": f"""WITH {RELAXED}, {KEPT},
         sql AS (SELECT request_id, {RENDER} AS sql_query FROM conditions GROUP BY request_id),
         final AS (SELECT request_id, {RENDER} AS final_query FROM kept GROUP BY request_id),
         labels AS (SELECT request_id, string_agg(col, ',' ORDER BY rk) AS labels,
             string_agg(score::VARCHAR, ',' ORDER BY rk) AS weights FROM ranked GROUP BY request_id),
         plans AS (SELECT request_id, string_agg(p_partkey::VARCHAR, ',' ORDER BY pos) AS plan_keys,
-            string_agg(p_brand, ',' ORDER BY pos) AS plan_brands FROM answer GROUP BY request_id)
-        SELECT c_custkey AS request_id, 200 AS status, 'Something for ' || c_name AS user_query,
-            sql_query, coalesce(final_query, '') AS final_query, labels, weights,
-            coalesce(plan_keys, '') AS plan_keys, coalesce(plan_brands, '') AS plan_brands
-        FROM customer LEFT JOIN sql ON c_custkey = sql.request_id
+            string_agg(p_brand, ',' ORDER BY pos) AS plan_p_brand, string_agg(p_type, ',' ORDER BY pos) AS plan_p_type,
+            string_agg(p_size::VARCHAR, ',' ORDER BY pos) AS plan_p_size,
+            string_agg(p_retailprice::VARCHAR, ',' ORDER BY pos) AS plan_p_retailprice FROM answer GROUP BY request_id),
+        asked AS (SELECT *, c_custkey % 50 = 0 AND c_mktsegment <> 'FURNITURE' AS bad FROM customer)
+        SELECT c_custkey AS request_id, CASE WHEN bad THEN 500 ELSE 200 END AS status,
+            CASE WHEN NOT bad THEN 'Something for ' || c_name END AS user_query,
+            CASE WHEN NOT bad THEN sql_query END AS sql_query,
+            CASE WHEN NOT bad THEN coalesce(final_query, '') END AS final_query,
+            CASE WHEN bad THEN '' ELSE labels END AS labels, CASE WHEN bad THEN '' ELSE weights END AS weights,
+            CASE WHEN bad THEN '' ELSE coalesce(plan_keys, '') END AS plan_keys,
+            CASE WHEN bad THEN '' ELSE coalesce(plan_p_brand, '') END AS plan_p_brand,
+            CASE WHEN bad THEN '' ELSE coalesce(plan_p_type, '') END AS plan_p_type,
+            CASE WHEN bad THEN '' ELSE coalesce(plan_p_size, '') END AS plan_p_size,
+            CASE WHEN bad THEN '' ELSE coalesce(plan_p_retailprice, '') END AS plan_p_retailprice,
+            CASE WHEN bad THEN '>= does not suit column: p_type' END AS error
+        FROM asked LEFT JOIN sql ON c_custkey = sql.request_id
             LEFT JOIN final ON c_custkey = final.request_id
             LEFT JOIN labels ON c_custkey = labels.request_id
             LEFT JOIN plans ON c_custkey = plans.request_id""",
@@ -238,18 +272,17 @@ ORACLE: dict[str, str] = {
         FROM leveled QUALIFY level = min(level) OVER ()""",
     "relax_batch": f"WITH {RELAXED} SELECT * FROM answer",
     "relax_batch_close": f"WITH {RELAXED_CLOSE} SELECT * FROM answer",
+    "relax_batch_wide": f"""WITH {WIDE}
+        SELECT request_id, level, row_number() OVER (PARTITION BY request_id ORDER BY l_extendedprice, l_key) AS pos,
+            l_extendedprice, l_key, l_quantity, l_linestatus FROM best QUALIFY pos <= 3""",
     "relax_level": f"""WITH {RELAXED}
         SELECT v.request_id, v.level, coalesce(string_agg(r.col, ',' ORDER BY r.rk), '') AS dropped
         FROM levels v LEFT JOIN ranked r ON r.request_id = v.request_id AND r.rk <= v.level
         GROUP BY v.request_id, v.level""",
     "is_empty": f"WITH {RELAXED} SELECT request_id, is_empty FROM levels",
-    "drop_conditions_on": f"""WITH {WISHES}, {SCORES}
-        SELECT request_id, ord, col, op, value FROM conditions c WHERE NOT EXISTS (
-            SELECT 1 FROM ranked r WHERE r.request_id = c.request_id AND r.col = c.col AND r.rk <= 2)""",
-    "render_final_query": f"""WITH {WISHES}, {SCORES}
-        SELECT request_id, {RENDER} AS final_query FROM conditions c WHERE NOT EXISTS (
-            SELECT 1 FROM ranked r WHERE r.request_id = c.request_id AND r.col = c.col AND r.rk <= 2)
-        GROUP BY request_id""",
+    "drop_conditions_on": f"WITH {RELAXED}, {KEPT} SELECT request_id, ord, col, op, value FROM kept",
+    "render_final_query": f"""WITH {RELAXED}, {KEPT}
+        SELECT request_id, {RENDER} AS final_query FROM kept GROUP BY request_id""",
     "rank_relevance": f"WITH {SCORES} SELECT request_id, col, score, rk FROM ranked",
     "score_relevance": f"WITH {CENTROIDS} SELECT vec_id, label, round(score, 6) AS score FROM cosines",
     "sort_by_price": "SELECT p_brand, p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey",

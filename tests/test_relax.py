@@ -161,6 +161,32 @@ def test_batch_equals_loop(spark, world, options):
     assert any(not keys for _, keys in wanted.values())
 
 
+@pytest.mark.parametrize("probe_bytes", [300, 2_000_000])
+def test_comparing_cells_with_probes_equals_loop(spark, world, monkeypatch, probe_bytes):
+    monkeypatch.setattr(rb, "LISTED_AXES", 0)
+    monkeypatch.setattr(rb, "PAIRS_PER_LISTED_ROW", 1e9)
+    monkeypatch.setattr(rb, "_search", None)  # not called
+    rows, requests = world
+    frames = batch_frames(spark, requests[:40])
+    answers = rb.relax_batch(
+        spark.createDataFrame(rows, SCHEMA), *frames, key="key", price="price", probe_bytes=probe_bytes * 10
+    )
+    for r in answers.collect():
+        steps, found = literal_loop(rows, *requests[r["request_id"]])
+        assert (r["level"], [x["key"] for x in r["rows"] or []]) == (steps, best(found, 3))
+
+
+def test_cells_are_listed_for_asked_columns_only(spark, world, monkeypatch):
+    rows, _ = world
+    made = []
+    original = rb._node_rows
+    monkeypatch.setattr(rb, "_node_rows", lambda *args: made.append(original(*args)) or made[-1])
+    asked = [([Condition("size", "<=", 5)], []), ([Condition("price", "=", 2.0)], [])]
+    rb.relax_batch(spark.createDataFrame(rows, SCHEMA), *batch_frames(spark, asked), key="key", price="price")
+    nodes = [r["node"] for r in made[0].collect()]
+    assert nodes and all(node.count("*") == 1 for node in nodes)
+
+
 def test_batch_levels_name_dropped_labels(spark, world):
     rows, requests = world
     frames = batch_frames(spark, requests)
