@@ -32,17 +32,23 @@ BITS = 3  # fixed by the cut into two halves
 CROWDED = 1024
 
 
-def fingerprint(raw: bytes) -> int:
-    """SimHash of the word shingles of a text, repeats included; 0 without words."""
+def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included: its words as a whole where
+    they are fewer than `width`, nothing without words."""
     words = raw.translate(LOWER).split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
-    width = min(SHINGLE, len(words))
+    width = min(width, len(words))
     ends = list(accumulate(len(w) + 1 for w in words))
     begins = [0, *ends]
     shingles = [joined[a : b - 1] for a, b in zip(begins, ends[width - 1 :])]
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+
+
+def fingerprint(raw: bytes) -> int:
+    """SimHash of the word shingles of a text, repeats included; 0 without words."""
+    hashes = shingle_hashes(raw, SHINGLE)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
