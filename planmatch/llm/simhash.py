@@ -178,6 +178,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
 
 
+def _rooted(rows: DataFrame, crowded: int) -> DataFrame:
+    """(fp, n, root, component_id) for the fingerprints of rows(doc_id, fp)."""
+    nodes = materialise(
+        rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes"
+    )
+    roots = materialise(
+        components(links(nodes.select("fp"), crowded)).select(F.col("node").alias("fp"), "root"), "roots"
+    )
+    # Both ends of a link: the root itself has no row of its own.
+    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "n", "root", "component_id")
+
+
 def near_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowded: int = CROWDED
 ) -> DataFrame:
@@ -188,43 +202,27 @@ def near_copies(
     id takes part; where no row of a component has an id, component_id is null.
     """
     rows = materialise(fingerprints(docs, doc_id, text), "fingerprints")
-    nodes = materialise(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes"
-    )
-    roots = materialise(
-        components(links(nodes.select("fp"), crowded)).select(F.col("node").alias("fp"), "root"), "roots"
-    )
-    # Both ends of a link: the root itself has no row of its own.
-    rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    keyed = rooted.join(least, "root").select("fp", "n", "component_id")
-    return join_back(rows, keyed, ["fp"], ["doc_id"])
+    return join_back(rows, _rooted(rows, crowded).drop("root"), ["fp"], ["doc_id"])
 
 
 def one_of_each(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`columns` of one row per component: the row whose id names it.
-
-    Of rows that repeat that id the smallest stays. Where no row of a component has an id,
-    the smallest row of each fingerprint stays.
+    """`columns` of one row per component: the row with the smallest id, rows without id
+    last; of rows of one fingerprint that repeat that id the smallest. Components are told
+    apart by their fingerprints, so unlike texts under one id are not taken for one.
     """
-    found = materialise(near_copies(docs, doc_id, text), "components")
-    keepers = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
-    kept = docs.join(keepers.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi").select(*columns)
-    others = [c for c in columns if c != doc_id]
-
-    def smallest(rows: DataFrame, by: str) -> DataFrame:
-        row = rows.groupBy(by).agg(F.min(F.struct(*[named(c) for c in columns])).alias("row"))
-        return row.select(*[F.col("row").getField(c).alias(c) for c in columns])
-
-    if others and not keepers.where("count > 1").isEmpty():
-        kept = smallest(kept, doc_id)
-    nameless = found.where(F.col("doc_id").isNull() & F.col("component_id").isNull())
-    if not nameless.isEmpty():
-        printed = docs.where(named(doc_id).isNull()).select(*columns)
-        marked = _with_fingerprint(printed, columns, text)
-        alone = marked.join(nameless.select("fp").distinct(), "fp", "left_semi")
-        kept = kept.unionByName(smallest(alone, "fp"))
-    return kept
+    used = list(dict.fromkeys([*columns, doc_id, text]))
+    marked = materialise(_with_fingerprint(docs, used, text), "fingerprints")
+    ids = marked.select(named(doc_id).alias("doc_id"), F.col("_fp").alias("fp"))
+    rooted = _rooted(ids, CROWDED).select("fp", "root")
+    firsts = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
+    keepers = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keepers = materialise(keepers.select(F.col("first.fp").alias("fp"), F.col("first.doc_id").alias("id")), "keepers")
+    kept = marked.withColumn("_row", F.struct(*[named(c) for c in columns])).join(
+        keepers.select(F.col("fp").alias("fp_"), F.col("id").alias("id_")),
+        (F.col("_fp") == F.col("fp_")) & named(doc_id).eqNullSafe(F.col("id_")), "left_semi",
+    )
+    row = kept.groupBy("_fp").agg(F.min("_row").alias("row"))
+    return row.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def _with_fingerprint(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
@@ -235,4 +233,4 @@ def _with_fingerprint(docs: DataFrame, columns: list[str], text: str) -> DataFra
         values = np.array([fingerprint(t) for t in utf8(batch.column(at))], np.uint64)
         return [*batch.columns, values.view(np.int64)]
 
-    return arrow_map(docs.select(*columns), judge, f"{kinds}, fp bigint")
+    return arrow_map(docs.select(*[named(c) for c in columns]), judge, f"{kinds}, _fp bigint")

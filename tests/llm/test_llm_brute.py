@@ -151,6 +151,15 @@ def test_near_copies(rows_of, crowded):
     assert [r["text"] for r in kept if r["doc_id"] is None] == ["alone and nameless " * 9]
 
 
+def test_unlike_texts_under_one_id_both_stay(rows_of):
+    a, b = "first text of its own " * 8, "another and quite different one " * 8
+    rows = [(3, a), (5, a), (5, b), (5, b + "x"), (7, b), (9, "short")]
+    kept = one_of_each(rows_of("doc_id long, text string", rows), ["doc_id", "text"]).collect()
+    prints = [brute_print(t) for _, t in rows]
+    near = (prints[2] ^ prints[3]).bit_count() <= 3
+    assert Counter(map(tuple, kept)) == Counter([(3, a), (5, b), (9, "short")] + ([] if near else [(5, b + "x")]))
+
+
 def signed(v):
     return v - (1 << 64) if v >> 63 else v
 
