@@ -4,7 +4,7 @@ scaled by its naive Bayes log-count ratio.
 n-grams of code points (A-Z folded) are hashed into a fixed number of buckets and count
 once per text. On labelled texts the ratio of a bucket is log of its smoothed share among
 toxic texts over its share among the others. Buckets that do not tell the classes apart
-are left out; a logistic regression is fitted on the others times their ratios. Weights and ratios fold into one vector of BUCKETS numbers,
+are left out, unless none does; a logistic regression is fitted on the others times their ratios. Weights and ratios fold into one vector of BUCKETS numbers,
 which is all that travels to the scoring pass.
 
 Fitting uses at most `train_rows` labelled rows, those with the smallest hash of the id;
@@ -144,6 +144,8 @@ def fit_toxicity(
     p[counts["bucket"]] = counts["p"]
     q[counts["bucket"]] = counts["q"]
     ratios, telling = log_count_ratios(p, q, toxic, other)
+    if not len(telling):  # too few rows for any bucket to be sure: all that were met
+        telling = np.flatnonzero(p + q)
     if not len(telling):
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(toxic / other)))
     place = np.full(BUCKETS, -1, np.int32)

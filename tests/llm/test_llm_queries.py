@@ -11,7 +11,7 @@ from compare import connect, differences
 
 import corpus_pipeline
 from planmatch.llm import queries as llm
-from planmatch.llm.toxicity import fit_toxicity, score_toxicity
+from planmatch.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from planmatch.llm.warc import make_archive, read_archive, read_archives, write_archives, write_record
 
 
@@ -87,6 +87,15 @@ def test_toxicity_of_odd_tables(rows_of, spark):
     assert score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_a_small_balanced_table(rows_of):
+    clean = [f"a calm walk by the river number {i} in the morning" for i in range(12)]
+    toxic = [f"you vile filthy scum number {i} get lost" for i in range(12)]
+    docs = rows_of("doc_id long, text string", list(enumerate(clean + toxic + ["the calm river in the morning", "vile filthy scum"])))
+    labels = rows_of("doc_id long, toxic int", [(i, int(i >= 12)) for i in range(24)])
+    scores = {r["doc_id"]: r["score"] for r in score_toxicity(docs, fit_toxicity(docs, labels)).collect()}
+    assert all((scores[i] >= THRESHOLD) == (12 <= i < 24 or i == 25) for i in range(26))
+
+
 # -- pipeline -----------------------------------------------------------------------
 
 
