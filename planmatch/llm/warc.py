@@ -10,6 +10,7 @@ their block headers, decodes each by itself and checks headers, lengths and dige
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 import uuid
@@ -39,8 +40,11 @@ REVISIT_BYTES = 100
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
 VERSION = b"WARC/1.1"
+READABLE = (b"WARC/1.0", VERSION)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+# Kinds of digest that are checked.
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 DATE = "2020-01-01T00:00:00Z"
 
 
@@ -90,6 +94,15 @@ def make_archive(records: list[bytes]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(packed)) + packed + b"".join(frames)
 
 
+def _decoded(decoder: zstandard.ZstdDecompressor, frame: bytes) -> bytes:
+    """A whole frame, whether or not its header tells the size of its content."""
+    stream = decoder.decompressobj()
+    content = stream.decompress(frame)
+    if not stream.eof:
+        raise ValueError("the frame is cut off")
+    return content
+
+
 def read_dictionary(archive: memoryview) -> tuple[zstandard.ZstdCompressionDict | None, int]:
     """The dictionary in the leading skippable frame, plain or compressed, and where the
     records begin. An archive without that frame has none."""
@@ -102,7 +115,7 @@ def read_dictionary(archive: memoryview) -> tuple[zstandard.ZstdCompressionDict
     if len(body) != size:
         raise ValueError("the dictionary frame is cut off")
     if body[:4] == struct.pack("<I", FRAME):
-        body = zstandard.ZstdDecompressor().decompress(body)
+        body = _decoded(zstandard.ZstdDecompressor(), body)
     return zstandard.ZstdCompressionDict(body), 8 + size
 
 
@@ -131,7 +144,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields (names folded) and block; ValueError where the record is not sound."""
     head, found, rest = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
-    if not found or lines[0] != VERSION:
+    if not found or lines[0] not in READABLE:
         raise ValueError("no WARC header")
     fields: dict[str, str] = {}
     for line in lines[1:]:
@@ -151,49 +164,71 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read_archive(content: bytes) -> Iterator[tuple]:
-    """(record_type, name, url, refers_to, digest, payload_bytes, payload, error) per frame.
+    """(record_type, name, url, refers_to, digest, payload_bytes, payload, error, header) per frame.
 
-    A record that is not sound has only `error`; if the frames themselves cannot be
+    The payload of a record other than a response or a revisit is its block. A record that is not sound has only `error`; if the frames themselves cannot be
     followed, one such row ends the archive.
     """
     archive = memoryview(content)
     try:
         dictionary, at = read_dictionary(archive)
     except (ValueError, zstandard.ZstdError) as error:
-        yield (None,) * 7 + (str(error),)
+        yield (None,) * 7 + (str(error), None)
         return
     decoder = zstandard.ZstdDecompressor(dict_data=dictionary) if dictionary else zstandard.ZstdDecompressor()
     while at < len(archive):
         try:
             end = frame_end(archive, at)
         except ValueError as error:
-            yield (None,) * 7 + (str(error),)
+            yield (None,) * 7 + (str(error), None)
             return
         try:
-            yield _sound(decoder.decompress(bytes(archive[at:end])))
+            yield _sound(_decoded(decoder, bytes(archive[at:end])))
         except (ValueError, zstandard.ZstdError) as error:
-            yield (None,) * 7 + (str(error),)
+            yield (None,) * 7 + (str(error), None)
         at = end
 
 
+def _fits(payload: bytes, label: str) -> bool:
+    """False where a digest of a known kind, in hex or base32, is not the payload's."""
+    kind, _, value = label.partition(":")
+    if kind.lower() not in DIGESTS:
+        return True
+    digest = hashlib.new(kind.lower(), payload).digest()
+    value = value.rstrip("=")
+    coded = base64.b32encode(digest).decode().rstrip("=")
+    if len(value) == len(coded):
+        return value.upper() == coded
+    return len(value) != 2 * len(digest) or value.lower() == digest.hex()
+
+
 def _sound(raw: bytes) -> tuple:
     fields, block = parse_record(raw)
     kind = fields["warc-type"]
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-    size = fields.get("x-payload-length", "")
+    label = fields.get("warc-payload-digest")
+    size = fields.get("x-payload-length")
+    if size is not None and not size.isdigit():
+        raise ValueError("the payload length is not a number")
     if kind == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if hashlib.sha256(payload).hexdigest() != digest or size != str(len(payload)):
+        payload, coded = block, False
+        if fields.get("content-type", "application/http").lower().startswith("application/http"):
+            head, _, payload = block.partition(b"\r\n\r\n")
+            # Writers differ in whether they take the digest before or after decoding.
+            coded = b"\r\ntransfer-encoding:" in head.lower()
+        fits = label is None or coded or _fits(payload, label)
+        if not fits or size is not None and int(size) != len(payload):
             raise ValueError("the payload does not fit its digest or length")
     elif kind == "revisit":
         payload = None
-        if block or "warc-refers-to" not in fields or not size.isdigit():
+        if not {"warc-refers-to", "warc-refers-to-target-uri", "warc-payload-digest"} & set(fields):
             raise ValueError("a revisit that names no response")
     else:
-        raise ValueError(f"unexpected type {kind}")
+        payload = block
+    length = len(payload) if payload is not None else None if size is None else int(size)
     return (
         kind, fields["warc-record-id"], fields.get("warc-target-uri"), fields.get("warc-refers-to"),
-        digest, int(size), payload, None,
+        None if label is None else label.removeprefix("sha256:"), length, payload, None,
+        raw.partition(b"\r\n\r\n")[0].decode("utf-8"),
     )
 
 
@@ -256,7 +291,7 @@ def write_archives(
 
 RECORD = (
     "record_type string, name string, url string, refers_to string, payload_digest string, "
-    "payload_bytes bigint, payload binary, error string"
+    "payload_bytes bigint, payload binary, error string, header string"
 )
 
 
@@ -270,11 +305,11 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = True) -> Dat
             for content in batch.column(0):
                 out, size = [], 0
                 for row in read_archive(content.as_py()):
-                    out.append(row if payload else (*row[:6], None, row[7]))
+                    out.append(row if payload else (*row[:6], None, *row[7:]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 8, kinds)], names=names
+                    [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 9, kinds)], names=names
                 )
 
     names = [part.split()[0] for part in RECORD.split(", ")]
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string()]
+    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.string(), pa.string()]
     return files.select("content").mapInArrow(read, RECORD)

@@ -62,6 +62,37 @@ def test_damaged_archives_are_told():
     assert list(read_archive(b"")) == []
 
 
+def test_archives_of_other_writers():
+    import base64
+
+    import zstandard
+
+    def record(kind, block, *more):
+        head = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", "WARC-Date: 2024-01-01T00:00:00Z", f"Content-Length: {len(block)}", *more]
+        return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\npayload"
+    sha1 = "WARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"payload").digest()).decode()
+    records = [record("warcinfo", b"software: x"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("metadata", b""),
+               record("response", http, "Content-Type: application/http; msgtype=response"), record("response", http, sha1),
+               record("response", http[:-1] + b"!", sha1), record("revisit", b"HTTP/1.1 200 OK\r\n\r\n", sha1)]
+    shared = b"".join(records)
+    packed = zstandard.ZstdCompressor(write_content_size=False).compressobj()
+    words = packed.compress(shared) + packed.flush()
+    found = []
+    for lead, extra in ((b"", {}), ((0x184D2A5D).to_bytes(4, "little") + len(words).to_bytes(4, "little") + words, {"dict_data": zstandard.ZstdCompressionDict(shared)})):
+        frames = b""
+        for r in records:
+            stream = zstandard.ZstdCompressor(write_content_size=False, **extra).compressobj()
+            frames += stream.compress(r) + stream.flush()
+        found.append(list(read_archive(lead + frames)))
+    assert found[0] == found[1]
+    assert [r[0] for r in found[0]] == ["warcinfo", "request", "metadata", "response", "response", None, "revisit"]
+    assert [r[6] for r in found[0]] == [b"software: x", b"GET / HTTP/1.1\r\n\r\n", b"", b"payload", b"payload", None, None]
+    assert [r[7] is None for r in found[0]] == [True] * 5 + [False, True]
+    assert found[0][0][8].startswith("WARC/1.0\r\nWARC-Type: warcinfo")
+
+
 # -- toxicity -----------------------------------------------------------------------
 
 
