@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from planmatch.llm.decontaminate import benchmark_passages
 from planmatch.llm.packing import pack
 from planmatch.llm.quality import plan_cascade, quality_cascade
+from planmatch.llm.resampling import resample
 from planmatch.llm.sharding import byte_shards
 from planmatch.llm.simhash import near_copies
 from planmatch.llm.suffix_dedup import repeated_passages
@@ -18,6 +19,7 @@ from planmatch.llm.token_cache import count_tokens
 from planmatch.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from planmatch.llm.url_filter import Rule, filter_urls
 from planmatch.llm.warc import read_archives, write_archives
+from planmatch.llm.whitening import whiten
 from planmatch.sources.storage import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -133,6 +135,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).select(
+        F.col("key").alias("vec_id"),
+        "component",
+        "n",
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_shards": op2_shards,
@@ -144,6 +163,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 _OP1 = r"""
