@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planmatch.llm.decontaminate import benchmark_passages
+from planmatch.llm.minhash import near_sets
 from planmatch.llm.packing import pack
 from planmatch.llm.quality import plan_cascade, quality_cascade
 from planmatch.llm.resampling import resample
@@ -147,6 +148,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_sets(_table(spark, sf_dir, "documents"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -164,6 +169,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_whitening": op11_whitening,
+    "op12_minhash": op12_minhash,
     "op13_resampling": op13_resampling,
 }
 
