@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planmatch.llm.decontaminate import without_benchmark
-from planmatch.llm.near_text import one_of_near
 from planmatch.llm.packing import pack
 from planmatch.llm.queries import held_out
+from planmatch.llm.simhash import one_of_each
 from planmatch.llm.suffix_dedup import repeated_passages
 from planmatch.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from planmatch.sources.storage import materialise
@@ -29,9 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard
-    similarity of 0.8 or more."""
-    return one_of_near(docs, COLUMNS)
+    """One document of each group of near copies stays, that with the smallest id:
+    fingerprints of three-word shingles that differ in three bits at most."""
+    return one_of_each(docs, COLUMNS)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
