@@ -1,28 +1,42 @@
-"""Token ids of whole texts, worked out once per distinct piece between blanks.
-
-word_bpe_49k folds case, drops white space and never merges across it, so the ids of a
-text are those of its blank-separated pieces in a row. Pieces are looked up in a bounded
-table; new ones go to the library: printable ASCII and Latin-1 letters straight to its BPE
-model, split as its own pattern splits them, anything else through its full pipeline.
-Texts that hold `<|` are not folded beforehand, as special strings are matched as written.
+"""Token ids of whole texts, worked out once per distinct run of letters.
+
+word_bpe_49k folds case, drops white space and never merges across it or across the runs
+that its own pattern finds in a piece between blanks, so the ids of a text are those of its
+runs in a row. Runs are looked up in a table of bounded bytes; new ones go straight to the
+library's BPE model. That holds for printable ASCII and Latin-1 letters; any other piece
+goes to the library's full pipeline as it is. Texts that hold `<|` are not folded beforehand,
+as special strings are matched as written.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
 from planmatch.llm.batches import LOWER
 
-# Pieces remembered per worker before the table starts anew.
-TABLE_PIECES = 400_000
+# Bytes of remembered runs per worker, in two generations: when the younger one has half
+# of this, it takes the place of the older one. A run counts ENTRY bytes besides its text
+# and its ids; longer ones than LONGEST characters are not remembered.
+TABLE_BYTES = 40_000_000
+ENTRY = 200
+LONGEST = 64
+# Bytes of a text that are worked on at once, up to the next blank.
+SLICE = 1 << 18
 
 # Letters whose folding is a plain shift; `'` starts contractions, so it is left out.
-_EASY = re.compile(r"[!-&(-~ß-öø-ÿÀ-ÖØ-Þ]+")
-_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_LETTERS = "!-&(-~ß-öø-ÿÀ-ÖØ-Þ"
+_BLANKS = r"\t-\r "
+_EASY = re.compile(f"[{_LETTERS}]+")
+_EASY_TEXT = re.compile(f"[{_LETTERS}{_BLANKS}]*")
+# Whole pieces that hold any other character.
+_HARD = re.compile(f"((?<![^{_BLANKS}])[^{_BLANKS}]*[^{_LETTERS}{_BLANKS}][^{_BLANKS}]*)")
+_RUNS = re.compile(f"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ{_BLANKS}]+")
+_BLANK = re.compile(rb"[\t-\r ]")
 
 
 def _byte_letters() -> list[str]:
@@ -43,11 +57,15 @@ class PieceEncoder:
     _open: dict[str, "PieceEncoder"] = {}
 
     def __init__(self, path: str):
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written in little-endian order")
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.table: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        # Keys are runs, or a blank and a whole piece.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # bytes of the younger generation
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -56,36 +74,70 @@ class PieceEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _run(self, run: str) -> bytes:
-        known = self.runs.get(run)
-        if known is None:
-            if len(self.runs) >= TABLE_PIECES:
-                self.runs.clear()
-            mapped = run if run.isascii() else "".join(self.letters[b] for b in run.encode())
-            known = np.array([t.id for t in self.model.tokenize(mapped)], "<u2").tobytes()
-            self.runs[run] = known
-        return known
-
-    def _piece(self, piece: bytes) -> bytes:
-        text = piece.decode("utf-8")
-        if _EASY.fullmatch(text) and b"<|" not in piece:
-            return b"".join(map(self._run, _RUNS.findall(text.lower())))
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u2").tobytes()
+    def _ids(self, key: str) -> bytes:
+        if key[0] == " ":
+            return array("H", self.tokenizer.encode(key[1:], add_special_tokens=False).ids).tobytes()
+        mapped = key if key.isascii() else "".join(self.letters[b] for b in key.encode())
+        return array("H", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Ids of keys that are not in the younger generation; long ones are returned,
+        others remembered."""
+        long = {}
+        for key in keys:
+            if len(key) > LONGEST:
+                long[key] = self._ids(key)
+                continue
+            ids = self.old.get(key)
+            if ids is None:
+                ids = self._ids(key)
+            self.young[key] = ids
+            self.held += len(key) + len(ids) + ENTRY
+        return long
+
+    def _joined(self, keys: list[str]) -> bytes:
+        young = self.young
+        try:
+            return b"".join([young[k] for k in keys])
+        except KeyError:
+            long = self._learn(set(keys).difference(young))
+            if long:
+                ids = b"".join([long[k] if k in long else young[k] for k in keys])
+            else:
+                ids = b"".join([young[k] for k in keys])
+            if 2 * self.held > TABLE_BYTES:
+                self.old, self.young, self.held = young, {}, 0
+            return ids
+
+    def _keys(self, raw: bytes) -> list[str]:
+        if b"<|" in raw:
+            keys = []
+            for piece in raw.split():
+                text = piece.decode("utf-8")
+                keys += [" " + text] if b"<|" in piece or not _EASY.fullmatch(text) else _RUNS.findall(text.lower())
+            return keys
+        text = raw.translate(LOWER).decode("utf-8")
+        if _EASY_TEXT.fullmatch(text):
+            return _RUNS.findall(text.lower())
+        keys = []
+        for number, part in enumerate(_HARD.split(text)):
+            if number % 2:
+                keys.append(" " + part)
+            else:
+                keys += _RUNS.findall(part.lower())
+        return keys
 
     def encode(self, raw: bytes) -> bytes:
         """Ids of a UTF-8 text, 16 bits each, little-endian."""
-        pieces = (raw if b"<|" in raw else raw.translate(LOWER)).split()
-        table = self.table
-        try:
-            return b"".join([table[p] for p in pieces])
-        except KeyError:
-            for p in set(pieces).difference(table):
-                table[p] = self._piece(p)
-            out = b"".join([table[p] for p in pieces])
-            if len(table) > TABLE_PIECES:
-                table.clear()
-            return out
+        if len(raw) <= SLICE:
+            return self._joined(self._keys(raw))
+        parts, at = [], 0
+        while at < len(raw):
+            blank = _BLANK.search(raw, at + SLICE)
+            end = blank.end() if blank else len(raw)
+            parts.append(self._joined(self._keys(raw[at:end])))
+            at = end
+        return b"".join(parts)
 
 
 def tokenizer_digest(path: str) -> str:
