@@ -246,9 +246,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
+_OP12 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT row, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(
+        list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words
+), texts AS (SELECT s, min(row) AS node, min(doc_id) AS first FROM (SELECT row, doc_id, list_sort(s) AS s FROM sets WHERE len(s) > 0) GROUP BY s),
+shingles AS (SELECT node, len(s) AS n, unnest(s) AS shingle FROM texts),
+rare AS (
+    SELECT node, n, shingle FROM (
+        SELECT s.*, row_number() OVER (PARTITION BY node ORDER BY f.df, s.shingle) AS place
+        FROM shingles s JOIN (SELECT shingle, count(*) AS df FROM shingles GROUP BY shingle) f USING (shingle))
+    WHERE place <= n - (4 * n + 4) // 5 + 1
+), met AS (
+    SELECT DISTINCT a.node AS a, b.node AS b FROM rare a JOIN rare b USING (shingle)
+    WHERE a.node < b.node AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+), alike AS (
+    SELECT a, b FROM (SELECT a, b, x.s AS s, y.s AS t, len(list_intersect(x.s, y.s)) AS i
+        FROM met JOIN texts x ON x.node = a JOIN texts y ON y.node = b)
+    WHERE 100 * i >= 80 * (len(s) + len(t) - i)
+), edges AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+reach(node, other) AS (
+    SELECT node, node FROM texts UNION SELECT r.node, e.b FROM reach r JOIN edges e ON e.a = r.other
+), least AS (SELECT r.node, min(t.first) AS component_id FROM reach r JOIN texts t ON t.node = r.other GROUP BY r.node)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id,
+    coalesce(c.component_id, s.doc_id) = s.doc_id AS kept
+FROM sets s LEFT JOIN texts t ON list_sort(s.s) = t.s LEFT JOIN least c ON c.node = t.node
+"""
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": _OP1,
     "op3_warc": _OP3,
     "op5_url_filter": _OP5,
     "op7_quality": _OP7,
+    "op12_minhash": _OP12,
 }

@@ -30,6 +30,8 @@ SEED = 42
 BITS = 3  # fixed by the cut into two halves
 # Fingerprints under one half from which its variants are split further.
 CROWDED = 1024
+# Kept rows are broadcast as digest and id up to this many.
+KEEPERS = 300_000
 
 
 def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -148,26 +150,26 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating star contraction: each round hangs the larger neighbours of a node, then
     the smaller ones, under the smallest. Every step is one aggregate and one join, written
-    to the shared folder; a node with very many edges is one row of the aggregate.
+    to the shared folder; a node with very many edges is one row of the aggregate, and its
+    edges are spread over several tasks in the join.
     """
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    def hang(near: DataFrame, name: str) -> DataFrame:
+    def hang(near: DataFrame) -> DataFrame:
         """near(u, v): every v goes under the smallest of u and its neighbours."""
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        met = near.join(least, "u")
-        return met.select("v", "u", "m")
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return join_back(near, least.withColumn("m", F.least("u", "m")), ["u"], ["v"]).select("v", "u", "m")
 
     # (u, v): v is the smaller end.
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = hang(both, "large").where(F.col("v") > F.col("u"))
+        large = hang(both).where(F.col("v") > F.col("u"))
         large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        met = hang(large, "small")
+        met = hang(large)
         small = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(met.select("u", F.col("m").alias("v")))
         now = materialise(small.distinct(), "small")
@@ -188,8 +190,9 @@ def _rooted(rows: DataFrame, crowded: int) -> DataFrame:
     )
     # Both ends of a link: the root itself has no row of its own.
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "n", "root", "component_id")
+    rooted = materialise(rooted.withColumnRenamed("n", "rows"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    return join_back(rooted, least, ["root"], ["fp"]).select("fp", F.col("rows").alias("n"), "root", "component_id")
 
 
 def near_copies(
@@ -207,30 +210,43 @@ def near_copies(
 
 def one_of_each(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`columns` of one row per component: the row with the smallest id, rows without id
-    last; of rows of one fingerprint that repeat that id the smallest. Components are told
-    apart by their fingerprints, so unlike texts under one id are not taken for one.
-    """
-    used = list(dict.fromkeys([*columns, doc_id, text]))
-    marked = materialise(_with_fingerprint(docs, used, text), "fingerprints")
-    ids = marked.select(named(doc_id).alias("doc_id"), F.col("_fp").alias("fp"))
-    rooted = _rooted(ids, CROWDED).select("fp", "root")
-    firsts = ids.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first"))
-    keepers = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keepers = materialise(keepers.select(F.col("first.fp").alias("fp"), F.col("first.doc_id").alias("id")), "keepers")
-    kept = marked.withColumn("_row", F.struct(*[named(c) for c in columns])).join(
-        keepers.select(F.col("fp").alias("fp_"), F.col("id").alias("id_")),
-        (F.col("_fp") == F.col("fp_")) & named(doc_id).eqNullSafe(F.col("id_")), "left_semi",
-    )
-    row = kept.groupBy("_fp").agg(F.min("_row").alias("row"))
-    return row.select(*[F.col("row").getField(c).alias(c) for c in columns])
+    last; of rows that repeat that id those of the smallest fingerprint, of these the
+    smallest row. Components are told apart by their fingerprints, so unlike texts under
+    one id are not taken for one. Null and empty texts are one component. An empty table
+    gives no rows; columns of `docs` beside those asked for may have any name.
 
-
-def _with_fingerprint(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    at = columns.index(text)
+    Texts stay where they are unless more than KEEPERS rows are kept.
+    """
+    kind = docs.schema[doc_id].dataType.simpleString()
+    node = F.unhex(F.md5(F.coalesce(named(text), F.lit(""))))
 
     def judge(batch):
-        values = np.array([fingerprint(t) for t in utf8(batch.column(at))], np.uint64)
-        return [*batch.columns, values.view(np.int64)]
-
-    return arrow_map(docs.select(*[named(c) for c in columns]), judge, f"{kinds}, _fp bigint")
+        values = np.array([fingerprint(t) for t in utf8(batch.column(2))], np.uint64)
+        return [batch.column(0), batch.column(1), values.view(np.int64)]
+
+    used = docs.select(named(doc_id).alias("doc_id"), node.alias("node"), named(text).alias("text"))
+    marked = materialise(arrow_map(used, judge, f"doc_id {kind}, node binary, fp bigint"), "fingerprints")
+    rooted = _rooted(marked.select("doc_id", "fp"), CROWDED).select("fp", "root")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "node", "n")
+    ids = marked.groupBy("fp", "doc_id").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    firsts = ids.groupBy("fp").agg(F.min(order).alias("first"))
+    keepers = firsts.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keepers = materialise(
+        keepers.select("root", F.col("first.fp").alias("fp_"), F.col("first.node").alias("node_"), F.col("first.doc_id").alias("id_"), "first.n"),
+        "keepers",
+    )
+    row = docs.select(node.alias("node"), named(doc_id).alias("id"), F.struct(*[named(c) for c in columns]).alias("row"))
+
+    def rows_of(kept: DataFrame, how: str) -> DataFrame:
+        kept = F.broadcast(kept) if kept.count() <= KEEPERS else kept
+        return row.join(kept, (F.col("node") == F.col("node_")) & F.col("id").eqNullSafe(F.col("id_")), how)
+
+    found = rows_of(keepers.where("n = 1").select("node_", "id_"), "left_semi").select("row")
+    again = keepers.where("n > 1").drop("node_")
+    if not again.isEmpty():
+        # Several rows of that id in the fingerprint: of one text or of several.
+        own = (F.col("fp") == F.col("fp_")) & F.col("doc_id").eqNullSafe(F.col("id_"))
+        nodes = marked.distinct().join(again, own).select(F.col("node").alias("node_"), "id_", "root")
+        nodes = materialise(nodes, "nodes")
+        found = found.unionByName(rows_of(nodes, "inner").groupBy("root").agg(F.min("row").alias("row")).select("row"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in columns])

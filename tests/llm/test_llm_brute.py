@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 import zlib
@@ -11,9 +10,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 from planmatch.llm.decontaminate import benchmark_passages, without_benchmark
-from planmatch.llm.near_text import near_texts, one_of_near
 from planmatch.llm.packing import best_fit_plan, pack
 from planmatch.llm.quality import RULES, plan_cascade, quality_cascade, repeated_words
 from planmatch.llm.queries import TOKENIZER, URL_RULES
@@ -101,6 +100,18 @@ def test_repeated_passages_of_nothing(spark):
     assert repeated_passages(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_passages_of_many_rows_without_id(rows_of):
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefgh ", k=140))
+    rows = [(1, passage), (2, "x" + passage)] + [(None, f"{i} " + "".join(rng.choices("ijklmnop ", k=30))) for i in range(6000)]
+    rows += [(None, "held " + passage), (None, "z" * 150), (None, "z" * 150)]
+    found = repeated_passages(rows_of("doc_id long, text string", rows), keep=("text",)).collect()
+    cut = {r["text"]: r["n_removed"] for r in found if r["n_removed"]}
+    # Rows without id are one document: equal places in it are not earlier ones.
+    assert cut == {"x" + passage: 140, "held " + passage: 140, "z" * 150: 149}
+    assert len(found) == len(rows)
+
+
 # -- SimHash ------------------------------------------------------------------------
 
 
@@ -160,6 +171,14 @@ def test_unlike_texts_under_one_id_both_stay(rows_of):
     assert Counter(map(tuple, kept)) == Counter([(3, a), (5, b), (9, "short")] + ([] if near else [(5, b + "x")]))
 
 
+def test_one_of_each_with_other_columns_and_of_nothing(rows_of):
+    schema = "doc_id long, text string, node_ string, id int, row string, fp long, n int, root int"
+    rows = [(i, f"text number {i % 3} " * 9, "x", 1, "y", 2, 3, 4) for i in range(9)] + [(0, "text number 0 " * 9, "z", 1, "y", 2, 3, 4)]
+    kept = one_of_each(rows_of(schema, rows), ["doc_id", "text", "node_", "fp"]).collect()
+    assert sorted(map(tuple, kept)) == [(i, rows[i][1], "x", 2) for i in range(3)]
+    assert one_of_each(rows_of(schema, []), ["doc_id", "node_"]).count() == 0
+
+
 def signed(v):
     return v - (1 << 64) if v >> 63 else v
 
@@ -191,79 +210,6 @@ def test_components_of_a_long_chain(spark):
         assert {roots.get(n, n) for n in group} == {min(group)}
 
 
-# -- near copies by shared shingles ---------------------------------------------------
-
-
-def brute_set(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def brute_roots(sets):
-    """Position -> smallest position reachable over pairs of Jaccard similarity >= 0.8."""
-    root = list(range(len(sets)))
-
-    def find(p):
-        while root[p] != p:
-            p = root[p]
-        return p
-
-    for i, a in enumerate(sets):
-        for j in range(i):
-            common = len(a & sets[j])
-            if 5 * common >= 4 * (len(a) + len(sets[j]) - common):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    return [find(i) for i in range(len(sets))]
-
-
-def changed(rng, text, k):
-    """The text with k of its words replaced."""
-    words = text.split()
-    for at in rng.sample(range(len(words)), k):
-        words[at] = f"new{rng.randrange(10**9)}"
-    return " ".join(words)
-
-
-def near_rows(seed=3):
-    """Odd texts, copies with more and fewer words changed, and one large group of them."""
-    rng = random.Random(seed)
-    rows = [r[:2] for r in awkward(seed)]
-    base = [" ".join(f"w{rng.randrange(500)}" for _ in range(200)) for _ in range(12)]
-    for text in base:
-        rows += [(len(rows) + k, changed(rng, text, k)) for k in (0, 1, 3, 4, 5, 9)]
-    rows += [(len(rows) + k, changed(rng, base[0], rng.randint(1, 6))) for k in range(60)]
-    # Repeated ids: an unlike text, the same text, none; a near copy under the id of another.
-    rows += [(rows[80][0], "unlike " * 3 + "text under an id that is there"), rows[90], rows[90],
-             (rows[85][0], changed(rng, base[3], 1)), (None, changed(rng, base[4], 1)), (None, "nameless and alone"),
-             (None, "nameless  AND alone")]
-    return rows
-
-
-def test_near_texts(rows_of):
-    rows = near_rows()
-    roots = brute_roots([brute_set(t) for _, t in rows])
-    table = rows_of("doc_id long, text string", rows)
-    known = {bytes(r["node"]): bytes(r["root"]) for r in near_texts(table).collect()}
-    nodes = [hashlib.md5((t or "").encode()).digest() for _, t in rows]
-    got = [known.get(n, n) for n in nodes]
-    groups = lambda of: sorted([i for i, r in enumerate(of) if r == x] for x in set(of))
-    assert groups(got) == groups(roots)
-    # One row of each group: the smallest id, none last.
-    kept = one_of_near(table, ["doc_id", "text"]).collect()
-    least = {}
-    for (doc, _), r in zip(rows, roots):
-        key = (doc is None, doc or 0)
-        least[r] = min(least.get(r, key), key)
-    assert Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == Counter(least.values())
-    at = {(d, t): r for (d, t), r in zip(rows, roots)}
-    assert sorted(at[(r["doc_id"], r["text"])] for r in kept) == sorted(least)
-
-
-def test_near_texts_of_nothing(spark):
-    assert one_of_near(spark.createDataFrame([], DOCS), ["doc_id", "text"]).count() == 0
-
-
 # -- decontamination ----------------------------------------------------------------
 
 
@@ -379,6 +325,31 @@ def test_ids_are_the_library_s(sf_dir):
         assert np.frombuffer(encoder.encode(text.encode()), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_tables_are_bounded_in_bytes(monkeypatch):
+    from planmatch.llm import tokens
+
+    monkeypatch.setattr(tokens, "TABLE_BYTES", 100_000)
+    monkeypatch.setattr(tokens, "SLICE", 1000)
+    tokenizer, encoder = Tokenizer.from_file(TOKENIZER), PieceEncoder(TOKENIZER)
+    rng = random.Random(6)
+    for size in (10, 500, 9000):
+        text = "".join(rng.choices("abcdeABCé.,'7 \n", k=size)) + " don't <b>日本</b> " + "y" * 200
+        assert np.frombuffer(encoder.encode(text.encode()), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        kept = {**encoder.old, **encoder.young}
+        assert sum(len(k) + len(v) + tokens.ENTRY for k, v in kept.items()) <= 1.5 * tokens.TABLE_BYTES
+        assert max(map(len, kept), default=0) <= tokens.LONGEST
+
+
+def test_a_text_of_one_long_word(rows_of):
+    rows = [(1, "x" * 1_000_000), (2, "word " * 400_000), (3, "y")]
+    table = rows_of("doc_id long, text string", rows)
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = [(i, len(t), len(tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in rows]
+    assert by_row(count_tokens(table, TOKENIZER), "doc_id", "n_bytes", "n_tokens") == want
+    pieces = pack(table, TOKENIZER).groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert sorted(map(tuple, pieces)) == [(i, n + 1) for i, _, n in want]
+
+
 def test_count_tokens_and_its_cache(rows_of, spark, tmp_path):
     from tokenizers import Tokenizer
 
