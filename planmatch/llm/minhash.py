@@ -39,8 +39,7 @@ WIDE = 2048
 # Similar: the share of common shingles is at least SHARE[0] / SHARE[1].
 SHARE = (4, 5)
 SIGMAS = 4
-# Shingle sets are broadcast up to this many, wanted nodes up to this many.
-SETS = 500
+# Wanted nodes are broadcast up to this many.
 NODES = 200_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -142,21 +141,20 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
 
 def similar(docs: DataFrame, pairs: DataFrame, text: str, width: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of nodes whose whole shingle sets are similar. A set travels once
-    for a pair and once for each slice of a hub's pairs."""
+    for a pair and once for each task of a hub's pairs."""
     pairs = materialise(pairs.distinct(), "pairs")
-    ends = {
-        end: pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n")) for end in ("b", "a")
-    }
-    wanted = materialise(ends["a"].select("node").union(ends["b"].select("node")).distinct(), "wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialise(wanted, "wanted")
 
     def judge(batch):
         return [batch.column(0), [shingle_set(t, width).view(np.int64) for t in utf8(batch.column(1))]]
 
     sets = materialise(arrow_map(_texts(docs, wanted, text), judge, "node binary, members array<bigint>"), "sets")
+    # Both sides of both joins are exchanges of written tables or joins, which Spark splits
+    # where a hub is hot; the hub comes last, so the sets that move are its partners'.
     met = pairs
-    for end, used in ends.items():
-        keyed = sets.join(used, "node").select(F.col("node").alias(end), F.col("members").alias(f"of_{end}"), "n")
-        met = join_back(met, keyed, [end], ["a", "b"], broadcast_rows=SETS)
+    for end in ("b", "a"):
+        met = met.join(sets.select(F.col("node").alias(end), F.col("members").alias(f"of_{end}")), end)
     both = F.size(F.array_intersect("of_a", "of_b"))
     total = F.size("of_a") + F.size("of_b") - both
     return materialise(met.where(both * share[1] >= total * share[0]).select("a", "b"), "similar")
@@ -178,10 +176,10 @@ def _with_hub(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b): every member b of a key with the member a that most others meet, where sizes
     and signatures allow."""
     best = F.max(F.struct("met", "size", "node", "bits")).alias("hub")
-    hubs = members.groupBy("key").agg(best, F.count("*").alias("n")).select(
-        "key", F.col("hub.node").alias("a"), F.col("hub.size").alias("hub_size"), F.col("hub.bits").alias("hub_bits"), "n"
+    hubs = members.groupBy("key").agg(best).select(
+        "key", F.col("hub.node").alias("a"), F.col("hub.size").alias("hub_size"), F.col("hub.bits").alias("hub_bits")
     )
-    met = join_back(members, hubs, ["key"], ["node"]).where(F.col("a") != F.col("node"))
+    met = members.join(materialise(hubs, "hubs"), "key").where(F.col("a") != F.col("node"))
     near = agreeing_lanes(F.col("bits"), F.col("hub_bits"), LANES) >= least_agreeing(LANES, share)
     return met.where(_sized("size", "hub_size", share) & near).select("a", F.col("node").alias("b"))
 
@@ -192,9 +190,9 @@ def _across(docs: DataFrame, members: DataFrame, nodes: DataFrame, roots: DataFr
     signatures allow; each pair under the first key that it shares."""
     rooted = members.select("key", "band", "node").join(roots, "node", "left")
     rooted = materialise(rooted.withColumn("root", F.coalesce("root", "node")), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.where("low != high").select("key", F.lit(True).alias("mixed"), "n")
-    left = materialise(join_back(rooted, mixed, ["key"], ["node"]).where("mixed").drop("mixed"), "open")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = materialise(mixed.where("low != high").select("key"), "mixed")
+    left = materialise(rooted.join(mixed, "key"), "open")
     multipliers = _multipliers(LANES + WIDE)[LANES:]
 
     def widen(batch):
@@ -205,7 +203,8 @@ def _across(docs: DataFrame, members: DataFrame, nodes: DataFrame, roots: DataFr
     wide = arrow_map(_texts(docs, wanted, text), widen, "node binary, wide array<bigint>")
     marks = F.transform("keys", lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("marks")
     wide = materialise(wide.join(nodes.select("node", "size", marks), "node"), "wide")
-    left = materialise(left.join(wide, "node"), "open-wide")
+    # Both sides read the same columns, so that they share one exchange.
+    left = left.join(wide, "node")
     a, b = left.alias("a"), left.alias("b")
     earlier = F.exists(
         F.arrays_zip(F.slice("a.marks", F.lit(1), F.col("a.band")).alias("x"), F.slice("b.marks", F.lit(1), F.col("a.band")).alias("y")),
@@ -213,6 +212,7 @@ def _across(docs: DataFrame, members: DataFrame, nodes: DataFrame, roots: DataFr
     )
     rule = (
         (F.col("a.key") == F.col("b.key"))
+        & (F.col("a.band") == F.col("b.band"))
         & (F.col("a.root") < F.col("b.root"))
         & _sized("a.size", "b.size", share)
         & (agreeing_lanes(F.col("a.wide"), F.col("b.wide"), WIDE) >= least_agreeing(WIDE, share))
@@ -258,9 +258,8 @@ def near_sets(
     roots = linked(docs, nodes, text, width, share)
     rooted = nodes.select("node", "first", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("n"))
-    named_nodes = join_back(rooted.withColumnRenamed("n", "rows"), least, ["root"], ["node"])
-    named_nodes = named_nodes.select("node", "component_id", F.col("rows").alias("n"))
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named_nodes = rooted.join(least, "root").select("node", "component_id", "n")
     out = join_back(rows.select("doc_id", "node", F.col("size").alias("n_shingles")), named_nodes, ["node"], ["doc_id"])
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

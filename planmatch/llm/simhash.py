@@ -151,16 +151,18 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating star contraction: each round hangs the larger neighbours of a node, then
     the smaller ones, under the smallest. Every step is one aggregate and one join, written
     to the shared folder; a node with very many edges is one row of the aggregate, and its
-    edges are spread over several tasks in the join.
+    edges may be spread over several tasks in the join.
     """
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     def hang(near: DataFrame) -> DataFrame:
-        """near(u, v): every v goes under the smallest of u and its neighbours."""
-        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        return join_back(near, least.withColumn("m", F.least("u", "m")), ["u"], ["v"]).select("v", "u", "m")
+        """near(u, v): every v goes under the smallest of u and its neighbours. Written, the
+        minima are broadcast where they are small and otherwise leave Spark free to split
+        the edges of a hub."""
+        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        return near.join(materialise(least, "least"), "u").select("v", "u", "m")
 
     # (u, v): v is the smaller end.
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -168,7 +170,8 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = hang(both).where(F.col("v") > F.col("u"))
-        large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        # Repeats stay for half a round: no more rows than there were edges.
+        large = materialise(large.select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         met = hang(large)
         small = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(met.select("u", F.col("m").alias("v")))
@@ -190,9 +193,9 @@ def _rooted(rows: DataFrame, crowded: int) -> DataFrame:
     )
     # Both ends of a link: the root itself has no row of its own.
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = materialise(rooted.withColumnRenamed("n", "rows"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
-    return join_back(rooted, least, ["root"], ["fp"]).select("fp", F.col("rows").alias("n"), "root", "component_id")
+    rooted = materialise(rooted, "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    return rooted.join(least, "root").select("fp", "n", "root", "component_id")
 
 
 def near_copies(
