@@ -24,11 +24,13 @@ def named(name: str) -> Column:
 
 @dataclass(frozen=True)
 class Condition:
-    """One conjunct: `column op value`; `between` and `in` take a sequence."""
+    """One conjunct: `column op value`; `between` and `in` take a sequence. `folded`: case,
+    outer blanks and runs of blanks of a text column and of the wanted texts do not count."""
 
     column: str
     op: str
     value: object
+    folded: bool = False
 
     def __post_init__(self) -> None:
         if self.op not in OPS:
@@ -40,6 +42,8 @@ def predicate(cond: Condition) -> Column:
     number, and what is no number is missing; the column's type is known when the plan is
     made, so no choice is left in it."""
     col, value = named(cond.column), cond.value
+    if cond.folded:
+        return _folded(col, cond.op, value)
     if cond.op == "~":
         return close_to(col, str(value))
     values = [v for v in (value if cond.op in ("in", "between") else [value]) if v is not None]
@@ -51,6 +55,18 @@ def predicate(cond: Condition) -> Column:
     return F.when(F.typeof(col) == "string", as_number).otherwise(plain)
 
 
+def _folded(col: Column, op: str, value: object) -> Column:
+    col = normalise_category(col)
+    several = op in ("in", "between")
+    texts = [None if v is None else str(v) for v in (value if several else [value])]
+    if op == "~":
+        return close_to(col, " ".join(texts[0].split()))
+    plain = [normalise_category(F.lit(t)) for t in texts]
+    if op == "in":
+        return reduce(lambda a, b: a | b, [col == t for t in plain], F.lit(False))
+    return col.between(*plain) if several else _compared(col, op, plain[0])
+
+
 def _compared(col: Column, op: str, value: object) -> Column:
     match op:
         case "=":

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 # Fixed value: a list of quoted names, as Python and JSON write it.
 # Possessive, so that the length of a name costs no stack.
 NAME = r"""(?:'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+")"""
-NAME_LIST = rf"^\[\s*(?:{NAME}(?:\s*,\s*{NAME})*\s*,?)?\s*\]$"
 # Fixed value: a sentence keeps its end marks and the blanks after them, so the
 # sentences of a text add up to the text.
 SENTENCE = r"[^.!?]*[.!?]+[ \t\r\n]*|[^.!?]+"
@@ -26,13 +25,20 @@ def last_bracket_slice(text: Column) -> Column:
 
 
 def parse_name_list(text: Column) -> Column:
-    """Names of a well-formed list of quoted strings; null for anything else."""
+    """Names of a well-formed list of quoted strings; null for anything else.
+
+    Names are found one after the other, and what is left of the list once each is an empty
+    name is compared as text, so that the number of names costs no stack."""
     quoted = F.regexp_extract_all(text, F.lit(f"({NAME})"), F.lit(1))
     names = F.transform(
         quoted,
         lambda q: F.regexp_replace(F.substring(q, F.lit(2), F.length(q) - 2), r"\\(.)", "$1"),
     )
-    return F.when(F.rlike(text, F.lit(NAME_LIST)), names)
+    left = F.regexp_replace(F.regexp_replace(text, F.lit(NAME), F.lit("''")), r"\s+", "")
+    after_first = F.replace(F.substring(left, F.lit(4), F.length(left)), F.lit(",''"), F.lit(""))
+    several = left.startswith("[''") & ~left.contains(",,") & after_first.isin("]", ",]")
+    framed = text.startswith("[") & text.endswith("]")
+    return F.when(framed & ((left == "[]") | several), names)
 
 
 def tokens(text: Column) -> Column:

@@ -2,12 +2,14 @@
 
 Rows are first counted per distinct value (map-side combine removes any skew),
 distinct values are split into ranges of about equal size, positions are counted
-inside each range and shifted by the totals of the ranges below.
+inside each range and shifted by the totals of the ranges below. Groups are dealt by
+hash; only those with more values than a range holds are split into ranges.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,22 +41,43 @@ def value_positions(
         .agg(F.sum(F.lit(1) if weight is None else weight).alias("n")),
         "counts",
     )
-    ranges = counted.count() // values_per_range + 1
-    if ranges > 1:
-        # Any type that sorts; equal values share a range, NaN is the largest number.
-        ranged = counted.repartitionByRange(ranges, named(value))
-        counted = materialise(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
-    else:
-        counted = counted.withColumn("_range", F.lit(0))
+    if by:
+        sizes = counted.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
+        # At most as many groups as there are full ranges.
+        large = materialise(sizes.where(F.col("_size") > values_per_range).drop("_size"), "large")
+        if large.isEmpty():
+            return _placed(counted.withColumn("_range", F.lit(0)), value, by)
+        large = F.broadcast(large.select(*[g.alias(f"_g{i}") for i, g in enumerate(groups)]))
+        same = reduce(lambda x, y: x & y, [g.eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
+        small = counted.join(large, same, "left_anti").withColumn("_range", F.lit(0))
+        rest = materialise(counted.join(large, same, "left_semi"), "rest")
+        return _placed(small, value, by).unionByName(_ranged(rest, value, by, values_per_range))
+    if counted.count() <= values_per_range:
+        return _placed(counted.withColumn("_range", F.lit(0)), value, by)
+    return _ranged(counted, value, by, values_per_range)
+
+
+def _placed(counted: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """Positions inside each (by, _range)."""
+    groups = [named(c) for c in by]
+    inside = Window.partitionBy(*groups, "_range").orderBy(named(value))
+    return counted.withColumn("before", F.sum("n").over(inside) - F.col("n")).withColumn(
+        "distinct_before", F.row_number().over(inside) - 1
+    ).drop("_range")
+
 
+def _ranged(counted: DataFrame, value: str, by: Sequence[str], values_per_range: int) -> DataFrame:
+    """Positions over ranges of (by, value); `counted` is a written table of more rows than
+    a range has."""
+    groups = [named(c) for c in by]
+    ranges = counted.count() // values_per_range + 1
+    # Any type that sorts; equal values share a range, NaN is the largest number.
+    ranged = counted.repartitionByRange(ranges, *groups, named(value))
+    counted = materialise(ranged.withColumn("_range", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy(*groups, "_range").orderBy(named(value))
     placed = counted.withColumn(
         "_before", F.sum("n").over(inside) - F.col("n")
     ).withColumn("_distinct", F.row_number().over(inside) - 1)
-    if ranges == 1:
-        return placed.drop("_range").withColumnsRenamed(
-            {"_before": "before", "_distinct": "distinct_before"}
-        )
 
     below = Window.partitionBy(*[f"_g{i}" for i in range(len(by))]).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1

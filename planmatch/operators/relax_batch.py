@@ -14,9 +14,12 @@ Requests and catalog both grow, so their product is never formed. Instead
 4. a probe becomes a short list of node keys and finds its rows by equi-join.
 
 Work is (cells + probes) x a power of the logarithm of the number of constants. The power
-is the number of numeric columns constrained together; beyond two, listing every cell can
-cost more than comparing it with every distinct probe. Then the cheaper of the two is taken:
-the probes travel in weighed blocks to the cells, with equal results.
+is the number of numeric columns constrained together; beyond LISTED_AXES of them cells are
+not listed, and probes travel in weighed blocks to the cells, which are indexed in price
+order (`operators.cell_index`), with equal results.
+
+Constants are compared as doubles where that is exact, and otherwise by their position among
+the values of the column's own type: long, decimal, date, timestamp or text.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from math import inf, nextafter, prod
+from math import inf, nextafter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planmatch.functions.covers import ancestors, depth_for, interval_cover, leaf
-from planmatch.functions.predicates import OPS, named
+from planmatch.functions.predicates import OPS, named, normalise_category
+from planmatch.operators.cell_index import first_rows, probe_of
 from planmatch.operators.close_match import expand_close
 from planmatch.operators.joins import join_back
 from planmatch.operators.ranking import value_positions
@@ -44,10 +48,10 @@ INLINE_CONSTANTS = 4096
 
 # Numeric columns constrained together up to which cells are always listed under nodes.
 LISTED_AXES = 2
-# Comparisons of a cell with a probe that cost as much as one listed row.
-PAIRS_PER_LISTED_ROW = 20
 # Text of probes that travels with one pass over the cells.
-PROBE_BYTES = 2_000_000
+PROBE_BYTES = 16_000_000
+# Whole numbers below this are exact as doubles.
+EXACT = 1 << 53
 
 MAX_DOUBLE = sys.float_info.max
 
@@ -58,9 +62,10 @@ class _Axis:
 
     index: int
     name: str
-    numeric: bool
+    numeric: bool  # has an order that conditions use; cells are numbers then
     ops: set[str]
     depth: int = 0
+    own: T.DataType | None = None  # compared in this type instead of as doubles
 
     @property
     def key(self) -> str:
@@ -78,6 +83,8 @@ class _Axis:
 
 NUMBER_OPS = frozenset({"=", "in", "between", "<", "<=", ">", ">="})
 TEXT_OPS = frozenset({"=", "in", "~"})
+RANGE_OPS = frozenset({"between", "<", "<=", ">", ">="})
+TIMES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def rank_relevance(relevance: DataFrame) -> DataFrame:
@@ -87,20 +94,36 @@ def rank_relevance(relevance: DataFrame) -> DataFrame:
 
 
 def split_requests(
-    constraints: DataFrame, catalog_columns: Sequence[str], schema: T.StructType | None = None
+    constraints: DataFrame,
+    catalog_columns: Sequence[str],
+    schema: T.StructType | None = None,
+    text_ranges: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Constraints of well-formed requests, and one error row per other request. With the
-    catalog's `schema` that includes operators that a column's type does not have."""
+    catalog's `schema` that includes operators that a column's type does not have, values
+    that cannot be read in that type, and `between` without two values. Ranges on text are
+    taken with `text_ranges`."""
     problem = F.when(
         ~F.col("col").isin(list(catalog_columns)),
         F.concat(F.lit("unknown column: "), "col"),
     ).when(~F.col("op").isin(list(OPS)), F.concat(F.lit("unknown operator: "), "op"))
     if schema is not None:
-        numeric = [f.name for f in schema.fields if isinstance(f.dataType, T.NumericType)]
-        allowed = F.when(F.col("col").isin(numeric), F.col("op").isin(list(NUMBER_OPS))).otherwise(
-            F.col("op").isin(list(TEXT_OPS))
-        )
+        ordered = [f for f in schema.fields if isinstance(f.dataType, (T.NumericType, *TIMES))]
+        of_text = sorted(OPS) if text_ranges else list(TEXT_OPS)
+        allowed = F.when(
+            F.col("col").isin([f.name for f in ordered]), F.col("op").isin(list(NUMBER_OPS))
+        ).otherwise(F.col("op").isin(of_text))
         problem = problem.when(~allowed, F.concat("op", F.lit(" does not suit column: "), "col"))
+        problem = problem.when(
+            (F.col("op") == "between") & (F.coalesce(F.size("values"), F.lit(0)) != 2),
+            F.concat(F.lit("between needs two values: "), "col"),
+        )
+        for field in ordered:
+            kind = field.dataType if isinstance(field.dataType, TIMES) else T.DoubleType()
+            unread = F.exists("values", lambda v: v.isNotNull() & v.try_cast(kind).isNull())
+            problem = problem.when(
+                (F.col("col") == field.name) & unread, F.concat(F.lit("unreadable value for column: "), "col")
+            )
     checked = constraints.withColumn("_problem", problem)
     errors = (
         checked.where(F.col("_problem").isNotNull())
@@ -146,6 +169,7 @@ def relax_batch(
     price: str,
     payload: Sequence[str] = (),
     n: int = 3,
+    folded: Sequence[str] = (),
     inline_constants: int = INLINE_CONSTANTS,
     broadcast_rows: int | None = None,
     probe_bytes: int = PROBE_BYTES,
@@ -157,8 +181,17 @@ def relax_batch(
     requests(request_id); constraints(request_id, ord, col, op, values
     array<string>) on catalog columns - set others aside with `split_requests`;
     relevance(request_id, col, score). `payload` travels with every kept row, so
-    name few columns.
+    name few columns. Text columns named in `folded` are compared without regard to case,
+    outer blanks and runs of blanks; answers show them as they are.
     """
+    if folded:
+        catalog = catalog.withColumns(
+            {**{f"_plain_{c}": named(c) for c in folded}, **{c: normalise_category(named(c)) for c in folded}}
+        )
+        plain = F.transform("values", normalise_category)
+        constraints = constraints.withColumn(
+            "values", F.when(F.col("col").isin(list(folded)), plain).otherwise(F.col("values"))
+        )
     joins = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
     values = _condition_values(constraints)
     axes, inline, table = _constants(values, catalog, inline_constants)
@@ -172,9 +205,9 @@ def relax_batch(
     levels, probes = _probes(profiles, axes)
     # Which columns are constrained together: few rows, as there are few columns.
     masks = [r["m"] for r in probes.select(_mask(axes, "w").alias("m")).distinct().collect()]
-    best_cells = _best_cells(cells, axes, key, price, payload, n)
-    if _pairs_cost_less(masks, axes, probes):
-        hits = _compare(materialise(best_cells, "cells"), probes, axes, n, probe_bytes)
+    best_cells = _best_cells(cells, axes, key, price, payload, n, folded)
+    if any(sum(a.numeric and m >> a.index & 1 for a in axes) > LISTED_AXES for m in masks):
+        hits = _walk(best_cells, probes, axes, n, probe_bytes)
     else:
         hits = _search(_node_rows(best_cells, masks, axes, n), probes, axes, n)
 
@@ -244,15 +277,20 @@ def _constants(
         .withColumn("number", _finite(F.col("value").try_cast("double")))
     )
     rows = uses.limit(inline_constants + 1).collect()
-    table = None
+    table, beyond = None, {}
     if len(rows) > inline_constants:
         table = materialise(uses, "constants")
         sizes = (
             table.groupBy("col")
-            .agg(F.collect_set("op").alias("ops"), F.count_distinct("value").alias("size"))
+            .agg(
+                F.collect_set("op").alias("ops"),
+                F.count_distinct("value").alias("size"),
+                F.coalesce(F.max(F.abs("number")), F.lit(0.0)).alias("largest"),
+            )
             .collect()
         )
         operators = {r["col"]: set(r["ops"]) for r in sizes}
+        beyond = {r["col"]: r["largest"] for r in sizes}
         few = [r["col"] for r in sizes if r["size"] <= inline_constants]
         rows = table.where(F.col("col").isin(few)).collect()
     else:
@@ -265,13 +303,19 @@ def _constants(
         inline[row["col"]].setdefault(row["value"], row)
     types = {f.name: f.dataType for f in catalog.schema.fields}
     names = [c for c in catalog.columns if c in operators]
-    axes = [
-        _Axis(i, c, isinstance(types[c], T.NumericType), operators[c]) for i, c in enumerate(names)
-    ]
-    for axis in axes:
-        allowed = NUMBER_OPS if axis.numeric else TEXT_OPS
-        if not axis.ops <= allowed:
-            raise ValueError(f"{sorted(axis.ops - allowed)} not supported on {axis.name}")
+    axes = []
+    for i, c in enumerate(names):
+        kind, ops = types[c], operators[c]
+        ordered = isinstance(kind, (T.NumericType, *TIMES)) or bool(ops & RANGE_OPS)
+        axis = _Axis(i, c, ordered, ops)
+        if isinstance(kind, (T.NumericType, *TIMES)) and "~" in ops:
+            raise ValueError(f"~ not supported on {c}")
+        if ordered:
+            largest = beyond.get(c)
+            if largest is None:
+                largest = max((abs(r["number"] or 0) for r in inline.get(c, {}).values()), default=0)
+            axis.own = _own_type(kind, largest)
+        axes.append(axis)
     return axes, {name: list(found.values()) for name, found in inline.items()}, table
 
 
@@ -296,6 +340,14 @@ def _encode(
                 source = F.when(source.isin(wanted), source)
             cells = cells.withColumn(f"c{axis.index}", source)
             continue
+        if axis.own is not None:
+            cells = cells.withColumn("_own", source.cast(axis.own))
+            mine = values.where((F.col("col") == axis.name) & F.col("value").isNotNull())
+            mine = mine.groupBy("col", "value").agg(F.count(F.lit(1)).alias("n"))
+            mine = materialise(mine.withColumn("number", _typed(F.col("value"), axis.own)), "typed")
+            cells, code = _ranked_cells(cells, mine, axis, joins)
+            ranked_codes.append(code)
+            continue
         cells = cells.withColumn("_own", _finite(source.cast("double")))
         if axis.name in inline:
             cells, codes = _inline_cells(cells, inline[axis.name], axis)
@@ -310,7 +362,7 @@ def _encode(
     if not ranked_codes:
         # Bounded by axes x inline_constants.
         return cells, values.join(F.broadcast(literal.drop("n")), ["col", "value"], "left")
-    if literal_codes:
+    if literal_codes and table is not None:
         # Uses per constant, over all operators.
         sums = table.groupBy("col", "value").agg(F.sum("n").alias("n"))
         literal = literal.drop("n").join(sums, ["col", "value"])
@@ -318,6 +370,26 @@ def _encode(
     return cells, join_back(values, dictionary, ["col", "value"], ["request_id"], **joins)
 
 
+def _own_type(kind: T.DataType, largest: float) -> T.DataType | None:
+    """The type in which a column has to be compared; none where doubles are exact."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)):
+        return None
+    if isinstance(kind, T.LongType):
+        return T.DecimalType(38, 18) if largest >= EXACT else None
+    if isinstance(kind, T.DecimalType):
+        return T.DecimalType(38, max(kind.scale, 38 - 20)) if kind.precision > 15 else None
+    return kind
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """A constant in the type of its column; numbers beyond that type as its ends."""
+    if not isinstance(kind, T.DecimalType):
+        return value.try_cast(kind)
+    number = value.try_cast("double")
+    end = F.lit("9" * (kind.precision - kind.scale)).cast(kind)
+    return F.coalesce(value.try_cast(kind), F.when(number > 0, end).when(number < 0, -end).cast(kind))
+
+
 def _finite(number: Column) -> Column:
     """NaN counts as missing, infinities as the largest numbers, -0.0 as 0.0."""
     bounded = F.greatest(F.least(number, F.lit(MAX_DOUBLE)), F.lit(-MAX_DOUBLE))
@@ -499,17 +571,20 @@ def _probes(profiles: DataFrame, axes: list[_Axis]) -> tuple[DataFrame, DataFram
 
 
 def _best_cells(
-    cells: DataFrame, axes: list[_Axis], key: str, price: str, payload: Sequence[str], n: int
+    cells: DataFrame, axes: list[_Axis], key: str, price: str, payload: Sequence[str], n: int,
+    folded: Sequence[str] = (),
 ) -> DataFrame:
     """The best `n` catalog rows of each distinct cell."""
     sources = [f"c{a.index}" for a in axes]
+
+    def plain(c: str) -> Column:
+        return named(f"_plain_{c}" if c in folded else c).alias(c)
+
     kept = cells.select(
         *sources,
-        named(price).alias("_price"),
-        named(key).alias("_key"),
-        F.struct(
-            named(price).alias(price), named(key).alias(key), *[named(c) for c in payload]
-        ).alias("row"),
+        plain(price).alias("_price"),
+        plain(key).alias("_key"),
+        F.struct(plain(price), plain(key), *[plain(c) for c in payload]).alias("row"),
     )
     # Each cell is about to be met many times: keep the tasks as many as a full
     # shuffle has, however small the cells are on disk.
@@ -551,46 +626,27 @@ def _node_rows(kept: DataFrame, masks: list[int], axes: list[_Axis], n: int) ->
     return _best(listed, ["node"], _by_price(), n)
 
 
-def _pairs_cost_less(masks: list[int], axes: list[_Axis], probes: DataFrame) -> bool:
-    """Whether comparing a cell with every probe costs less than listing it. Both plans give
-    the same rows."""
-    together = [[a for a in axes if a.numeric and m >> a.index & 1] for m in masks]
-    if all(len(numeric) <= LISTED_AXES for numeric in together):
-        return False
-    listed = sum(prod(a.depth + 1 for a in numeric) for numeric in together)
-    return probes.count() <= PAIRS_PER_LISTED_ROW * listed
-
-
-def _compare(
+def _walk(
     cells: DataFrame, probes: DataFrame, axes: list[_Axis], n: int, probe_bytes: int
 ) -> DataFrame:
-    """(probe, n, rows): every cell against the stated set of probes, which travels in blocks
-    of weighed text, one pass over the cells each."""
+    """(probe, n, rows): the stated set of probes meets cells in ranges of price. Probes
+    travel in blocks of weighed text, one pass over the cells each."""
     total = probes.agg(F.sum(F.octet_length("probe"))).first()[0] or 0
     blocks = max(1, -(-total // probe_bytes))
-    asked = probes.select(
-        "probe",
-        "n",
-        *[f"w{a.index}" for a in axes],
-        F.pmod(F.xxhash64("probe"), F.lit(blocks)).alias("block"),
-    )
+    wishes = [f"w{a.index}" for a in axes]
+    named_probes = probes.withColumn("id", F.unhex(F.md5("probe")))
+    if blocks > 1:
+        cells = materialise(cells, "cells")
+    dealt = cells.repartitionByRange(explosion_tasks(cells), *_by_price()).sortWithinPartitions(*_by_price())
     met = []
     for block in range(blocks):
-        mine = F.broadcast(asked.where(F.col("block") == block).drop("block"))
-        meets = reduce(lambda x, y: x & y, [_meets(a) for a in axes])
-        pairs = cells.join(mine, meets).select("probe", "n", "_price", "_key", "row")
-        met.append(_top_rows(pairs, n))
-    return reduce(DataFrame.unionByName, met)
-
-
-def _meets(a: _Axis) -> Column:
-    """Whether a cell meets a probe's wish on one column."""
-    have, wish = F.col(f"c{a.index}"), F.col(f"w{a.index}")
-    listed = F.array_contains(wish["pts"], have)
-    if a.numeric:
-        inside = have.between(wish["lo"], wish["hi"])
-        listed = inside & (wish["pts"].isNull() | listed)
-    return wish.isNull() | listed
+        mine = named_probes.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        asked = [(bytes(r["id"]), probe_of(r, axes)) for r in mine.select("id", *wishes).collect()]
+        met.append(first_rows(dealt, asked, axes, n))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(*_by_price()))
+    top = reduce(DataFrame.unionByName, met).withColumn("pos", place).where(F.col("pos") <= n)
+    rows = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "row.*"))).alias("rows"))
+    return rows.join(named_probes.select("id", "probe", "n"), "id").drop("id")
 
 
 def _node(axes: list[_Axis]) -> Column:

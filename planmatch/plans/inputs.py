@@ -153,6 +153,45 @@ def wide_relevance(supplier: DataFrame) -> DataFrame:
     return supplier.select(key.alias("request_id"), F.inline(F.array(*scored)))
 
 
+# Columns that requests for orders constrain.
+ORDER_LABELS = ("o_orderdate", "o_orderpriority", "o_totalprice")
+
+
+def order_constraints(supplier: DataFrame) -> DataFrame:
+    """One request per supplier: a span of dates, one in five of them after the last order,
+    priorities from a letter on and a limit to the price."""
+    key = F.col("s_suppkey")
+    since = F.date_add(F.lit("1995-01-01").cast("date"), (key * 37 % 2900).cast("int"))
+    until = F.date_add(since, (key % 60).cast("int"))
+    conditions = F.array(
+        _condition(1, "o_orderdate", "between", since.cast("string"), until.cast("string")),
+        _condition(2, "o_orderpriority", ">=", (key % 6 + 1).cast("string")),
+        _condition(3, "o_totalprice", "<=", ((key % 9 + 1) * 20000).cast("string")),
+    )
+    return supplier.select(key.alias("request_id"), F.inline(conditions))
+
+
+def order_relevance(supplier: DataFrame) -> DataFrame:
+    key = F.col("s_suppkey")
+    scored = [
+        F.struct(F.lit(c).alias("col"), (((key * 31 + i * 17) % 100) / F.lit(100.0)).alias("score"))
+        for i, c in enumerate(ORDER_LABELS)
+    ]
+    return supplier.select(key.alias("request_id"), F.inline(F.array(*scored)))
+
+
+def untidy_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`part` whose types are written in mixed case and with stray blanks."""
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    kind = F.col("p_type")
+    untidy = (
+        F.when(key % 3 == 0, F.lower(kind))
+        .when(key % 3 == 1, F.concat(F.lit(" "), kind, F.lit("  ")))
+        .otherwise(kind)
+    )
+    return part.withColumn("p_type", F.when(key % 7 != 0, untidy))
+
+
 # ---------------------------------------------------------------- sessions
 
 # Label of each letter whose share in a turn is its weight.

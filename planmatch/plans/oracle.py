@@ -81,6 +81,29 @@ pairs AS (SELECT k AS request_id, l.*, l_orderkey || '|' || l_linenumber || '|'
     FROM rks, lineitem l),
 best AS (SELECT * FROM pairs QUALIFY level = min(level) OVER (PARTITION BY request_id))"""
 
+# Spans of dates and texts on orders; the first columns stand for the labels.
+RANGES = """
+scored AS (SELECT s_suppkey AS k, l.i, row_number() OVER (PARTITION BY s_suppkey
+        ORDER BY (s_suppkey * 31 + l.i * 17) % 100, l.col) AS rk
+    FROM supplier, (VALUES (0, 'o_orderdate'), (1, 'o_orderpriority'), (2, 'o_totalprice')) l(i, col)),
+rks AS (SELECT k, max(rk) FILTER (i = 0) AS rd, max(rk) FILTER (i = 1) AS rp, max(rk) FILTER (i = 2) AS rt,
+    DATE '1995-01-01' + (k * 37 % 2900)::INTEGER AS since FROM scored GROUP BY k),
+pairs AS (SELECT k AS request_id, o.*, greatest(
+        CASE WHEN o_orderdate BETWEEN since AND since + (k % 60)::INTEGER THEN 0 ELSE rd END,
+        CASE WHEN o_orderpriority >= (k % 6 + 1)::VARCHAR THEN 0 ELSE rp END,
+        CASE WHEN o_totalprice <= (k % 9 + 1) * 20000 THEN 0 ELSE rt END) AS level
+    FROM rks, orders o),
+best AS (SELECT * FROM pairs QUALIFY level = min(level) OVER (PARTITION BY request_id))"""
+
+# Wishes for brand and type alone; types are untidy and compared folded.
+RELAXED_FOLDED = (
+    RELAXED.replace("CASE WHEN p_partkey % 7 <> 0 THEN p_type END", """CASE WHEN p_partkey % 7 <> 0 THEN
+        CASE p_partkey % 3 WHEN 0 THEN lower(p_type) WHEN 1 THEN ' ' || p_type || '  ' ELSE p_type END END""")
+    .replace("coalesce(p_size <= size_cap, false)", "true")
+    .replace("coalesce(p_retailprice <= price_cap, false)", "true")
+    .replace("coalesce(p_type = typ, false)", "coalesce(lower(trim(p_type)) = lower(typ), false)")
+)
+
 # The type wish of the misspelt requests, and their test.
 RELAXED_CLOSE = (
     RELAXED.replace("coalesce(p_type = typ, false)", """coalesce(
@@ -275,6 +298,10 @@ ORACLE: dict[str, str] = {
     "relax_batch_wide": f"""WITH {WIDE}
         SELECT request_id, level, row_number() OVER (PARTITION BY request_id ORDER BY l_extendedprice, l_key) AS pos,
             l_extendedprice, l_key, l_quantity, l_linestatus FROM best QUALIFY pos <= 3""",
+    "relax_batch_ranges": f"""WITH {RANGES}
+        SELECT request_id, level, row_number() OVER (PARTITION BY request_id ORDER BY o_totalprice, o_orderkey) AS pos,
+            o_totalprice, o_orderkey, o_orderpriority FROM best QUALIFY pos <= 3""",
+    "relax_batch_folded": f"WITH {RELAXED_FOLDED} SELECT request_id, level, pos, p_retailprice, p_partkey, p_brand, p_type FROM answer",
     "relax_level": f"""WITH {RELAXED}
         SELECT v.request_id, v.level, coalesce(string_agg(r.col, ',' ORDER BY r.rk), '') AS dropped
         FROM levels v LEFT JOIN ranked r ON r.request_id = v.request_id AND r.rk <= v.level

@@ -346,6 +346,42 @@ def relax_batch_wide(spark: SparkSession, sf: str) -> DataFrame:
     return relax_batch.batch_rows(answers)
 
 
+@query
+def relax_batch_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans of dates and of texts, on all orders."""
+    supplier = table(spark, sf, "supplier")
+    valid, _ = relax_batch.split_requests(
+        inputs.order_constraints(supplier), inputs.ORDER_LABELS, table(spark, sf, "orders").schema, text_ranges=True
+    )
+    answers = relax_batch.relax_batch(
+        table(spark, sf, "orders"),
+        supplier.select(F.col("s_suppkey").alias("request_id")),
+        valid,
+        inputs.order_relevance(supplier),
+        key="o_orderkey",
+        price="o_totalprice",
+        payload=["o_orderpriority"],
+    )
+    return relax_batch.batch_rows(answers)
+
+
+@query
+def relax_batch_folded(spark: SparkSession, sf: str) -> DataFrame:
+    """Wishes for a type, whatever its case and blanks."""
+    customer = table(spark, sf, "customer")
+    answers = relax_batch.relax_batch(
+        inputs.untidy_catalog(spark, sf),
+        inputs.requests(customer),
+        inputs.constraints(customer).where(F.col("col").isin("p_type", "p_brand")),
+        inputs.relevance(customer),
+        key="p_partkey",
+        price="p_retailprice",
+        payload=["p_brand", "p_type"],
+        folded=["p_type"],
+    )
+    return relax_batch.batch_rows(answers)
+
+
 @query
 def relax_level(spark: SparkSession, sf: str) -> DataFrame:
     relevance = inputs.relevance(table(spark, sf, "customer"))

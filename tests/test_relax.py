@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+from datetime import date, datetime
+from decimal import Decimal
 
+import numpy as np
 import pytest
 
 from planmatch.functions.predicates import Condition, conjunction
 from planmatch.operators import relax_batch as rb
+from planmatch.operators.cell_index import CellIndex, Wish
 from planmatch.operators.close_match import close_values
 from planmatch.operators.relax import drop_conditions_on, label_ranks, relax_single
 
@@ -164,7 +168,6 @@ def test_batch_equals_loop(spark, world, options):
 @pytest.mark.parametrize("probe_bytes", [300, 2_000_000])
 def test_comparing_cells_with_probes_equals_loop(spark, world, monkeypatch, probe_bytes):
     monkeypatch.setattr(rb, "LISTED_AXES", 0)
-    monkeypatch.setattr(rb, "PAIRS_PER_LISTED_ROW", 1e9)
     monkeypatch.setattr(rb, "_search", None)  # not called
     rows, requests = world
     frames = batch_frames(spark, requests[:40])
@@ -176,6 +179,108 @@ def test_comparing_cells_with_probes_equals_loop(spark, world, monkeypatch, prob
         assert (r["level"], [x["key"] for x in r["rows"] or []]) == (steps, best(found, 3))
 
 
+def test_index_finds_what_a_scan_finds_and_compares_few_cells():
+    rng = np.random.default_rng(7)
+    size = 20_000
+    columns = {
+        0: rng.integers(-1, 5000, size),
+        1: rng.integers(-1, 40, size),
+        2: rng.integers(0, 900, size),
+        3: np.array([None, "a", "b", "c"], object)[rng.integers(0, 4, size)],
+    }
+    index, probes = CellIndex(size, columns), 0
+    for _ in range(300):
+        probe = []
+        for axis in range(3):
+            low = int(rng.integers(-10, 5000) if axis == 0 else rng.integers(-2, 900))
+            points = tuple(rng.integers(0, 60, 3).tolist()) if axis == 1 and rng.random() < 0.5 else None
+            if rng.random() < 0.8:
+                probe.append(Wish(axis, low, low + int(rng.integers(-3, 800)), points))
+        if rng.random() < 0.3:
+            probe.append(Wish(3, None, None, ("a", "z") if rng.random() < 0.5 else ()))
+        hits = np.ones(size, bool)
+        for w in probe:
+            have = columns[w.axis]
+            if w.low is None:
+                hits &= np.isin(have.astype(str), w.points) & (have != None)  # noqa: E711
+            else:
+                hits &= (have >= w.low) & (have <= w.high) & (have >= 0)
+                hits &= np.isin(have, w.points) if w.points is not None else True
+        assert index.first(probe, 3) == np.flatnonzero(hits)[:3].tolist()
+        probes += 1
+    assert index.compared * 10 < size * probes
+    assert CellIndex(0, {0: np.array([], np.int64)}).first([Wish(0, 0, 9, None)], 3) == []
+
+
+RANGE_SCHEMA = "key long, big long, exact decimal(30,4), day date, at timestamp, word string, price double"
+
+
+@pytest.mark.parametrize("options", [{}, {"inline_constants": 2, "broadcast_rows": 0}])
+def test_ranges_of_every_type_equal_one_request_each(spark, options):
+    rng = random.Random(21)
+    bigs = [9007199254740991 + i for i in range(5)] + [-(2**63), 2**63 - 1, 7, None]
+    exacts = [Decimal("12345678901234567890.1234"), Decimal("12345678901234567890.1235"), Decimal("0.5"), None]
+    days = [date(2020, 1, d) for d in range(1, 9)] + [None]
+    times = [datetime(2020, 1, 1, 0, 0, 0, i) for i in range(4)] + [None]
+    words = ["", "a", "ab", "B", "é", "zz", None]
+    pools = {"big": bigs, "exact": exacts, "day": days, "at": times, "word": words}
+    rows = [(i, *[rng.choice(p) for p in pools.values()], float(rng.randint(0, 9))) for i in range(60)]
+    catalog = spark.createDataFrame(rows, RANGE_SCHEMA).cache()
+    requests = []
+    for _ in range(24):
+        conds = []
+        for name in rng.sample(list(pools), rng.randint(1, 4)):
+            op = rng.choice(["=", "<=", ">=", "<", ">", "between", "in"])
+            pick = lambda: rng.choice([v for v in pools[name] if v is not None])  # noqa: E731, B023
+            value = (pick(), pick()) if op in ("between", "in") else pick()
+            conds.append(Condition(name, op, value))
+        requests.append((conds, rng.sample(list(pools), rng.randint(0, 5))))
+    answers = rb.relax_batch(catalog, *batch_frames(spark, requests), key="key", price="price", n=100, **options)
+    got = {r["request_id"]: (r["level"], {x["key"] for x in r["rows"] or []}) for r in answers.collect()}
+    for i, (conds, labels) in enumerate(requests):
+        single = relax_single(catalog, conds, labels)
+        assert got[i] == (single.level, {r["key"] for r in single.rows.select("key").collect()})
+
+
+def test_numbers_beyond_the_column(spark):
+    catalog = spark.createDataFrame([(1, 2**63 - 1, 1.0), (2, -5, 2.0)], "key long, big long, price double")
+    asked = [([Condition("big", op, v)], []) for op, v in (("<=", "1e300"), (">", "-1e300"), ("=", "9007199254740993.5"))]
+    got = rb.relax_batch(catalog, *batch_frames(spark, asked), key="key", price="price").orderBy("request_id").collect()
+    assert [[x["key"] for x in r["rows"] or []] for r in got] == [[1, 2], [1, 2], []]
+
+
+def test_folded_texts(spark):
+    rows = [(1, "Yes", 1.0), (2, " yes", 2.0), (3, "ADD  on\tdata ", 3.0), (4, "No", 4.0), (5, None, 5.0)]
+    catalog = spark.createDataFrame(rows, "key long, t string, price double")
+    asked = {("=", "YES "): [1, 2], ("in", ("yes", "add on  data")): [1, 2, 3], ("~", " Add on  dat"): [3], ("=", "Ye s"): []}
+    requests = [([Condition("t", op, v, folded=True)], []) for op, v in asked]
+    answers = rb.relax_batch(catalog, *batch_frames(spark, requests), key="key", price="price", payload=["t"], folded=["t"])
+    got = {r["request_id"]: [(x["key"], x["t"]) for x in r["rows"] or []] for r in answers.collect()}
+    shown = {k: t for k, t, _ in rows}
+    for i, ((conds, _), keys) in enumerate(zip(requests, asked.values())):
+        assert got[i] == [(k, shown[k]) for k in keys]
+        assert sorted(r["key"] for r in catalog.where(conjunction(conds)).collect()) == keys
+    plain = rb.relax_batch(catalog, *batch_frames(spark, requests[:1]), key="key", price="price").first()
+    assert plain["rows"] is None
+
+
+def test_unreadable_values_become_errors(spark):
+    schema = spark.createDataFrame([], "key long, big long, day date, t string").schema
+    constraints = spark.createDataFrame(
+        [(1, 0, "big", "=", ["abc"]), (2, 0, "big", "between", ["1"]), (3, 0, "day", ">=", ["soon"]),
+         (4, 0, "day", "<", ["2020-01-01"]), (5, 0, "t", ">=", ["a"]), (6, 0, "big", "between", None), (7, 0, "big", "in", [])],
+        "request_id long, ord int, col string, op string, values array<string>",
+    )
+    valid, errors = rb.split_requests(constraints, schema.names, schema)
+    assert sorted(r["request_id"] for r in valid.collect()) == [4, 7]
+    assert {r["request_id"]: r["error"].split(":")[0] for r in errors.collect()} == {
+        1: "unreadable value for column", 2: "between needs two values", 3: "unreadable value for column",
+        5: ">= does not suit column", 6: "between needs two values",
+    }
+    valid, _ = rb.split_requests(constraints, schema.names, schema, text_ranges=True)
+    assert sorted(r["request_id"] for r in valid.collect()) == [4, 5, 7]
+
+
 def test_cells_are_listed_for_asked_columns_only(spark, world, monkeypatch):
     rows, _ = world
     made = []

@@ -115,6 +115,23 @@ def test_positions_in_ranges(spark, values_per_range):
         assert r["distinct_before"] == len({v for v in mine if v < r["v"]})
 
 
+def test_ranges_hold_many_small_groups_and_split_large_ones(spark, monkeypatch):
+    from planmatch.operators import ranking
+
+    made = []
+    original = ranking.materialise
+    monkeypatch.setattr(ranking, "materialise", lambda df, name: made.append((name, original(df, name))) or made[-1][1])
+    limit = 2_000
+    small = spark.range(160_000).select((F.col("id") % 40_000).alias("g"), F.floor(F.col("id") / 40_000).alias("v"))
+    large = spark.range(9_000).select(F.lit(-1).cast("long").alias("g"), F.col("id").alias("v"))
+    got = ranking.value_positions(small.unionByName(large), "v", ["g"], values_per_range=limit)
+    assert got.where("g >= 0 AND before <> v").count() == 0 and got.where("g = -1 AND before <> v").count() == 0
+    assert got.count() == 169_000
+    ranges = [df for name, df in made if name == "ranges"]
+    assert ranges[0].groupBy("_range").count().agg(F.max("count")).first()[0] <= 2 * limit
+    assert ranges[0].count() == 9_000
+
+
 def test_rank_with_nulls(spark, rows):
     got = {r["id"]: (r["rank"], r["dense_rank"]) for r in rank_all(rows, "price", ["id"]).collect()}
     assert got == {3: (1, 1), 4: (1, 1), 5: (3, 2), 1: (4, 3), 2: (None, None)}
@@ -245,6 +262,3 @@ def test_topk_ties_and_zero_vectors(spark):
     assert [(r["id"], r["score"]) for r in got] == [(1, 1.0), (2, 1.0), (3, 1.0)]
     every = retrieval.cosine_topk(base, asked, 20, "id", "v", "name", "v").orderBy("rank").collect()
     assert len(every) == 10 and (every[-1]["id"], every[-1]["score"]) == (10, None)
-    with pytest.raises(Exception, match="3 elements"):
-        wide = spark.createDataFrame([("q", [2.0, 0.0, 1.0])], "name string, v array<double>")
-        retrieval.score_all(base, wide, "id", "v", "name", "v").collect()

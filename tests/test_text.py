@@ -53,6 +53,15 @@ def test_slices(spark, text, expected):
         ("", None),
         ("[1]", None),
         ("['a' 'b'", None),
+        ("['a' 'b']", None),
+        ("['', '', ]", ["", ""]),
+        ("[,'a']", None),
+        ("['a',,'b']", None),
+        ("['a',,]", None),
+        ("[ ]", []),
+        (" ['a']", None),
+        ("['a\", 'b']", None),
+        ("[\"a'b\", '\"']", ["a'b", '"']),
     ],
 )
 def test_name_lists(spark, text, expected):
@@ -80,6 +89,12 @@ def test_very_long_names(spark):
     assert one(spark, parse_name_list(F.col("t")), t=str(names)[:-2]) is None
 
 
+def test_very_many_names(spark):
+    names = [f"column {i}" for i in range(200_000)]
+    assert one(spark, parse_name_list(F.col("t")), t=str(names)) == names
+    assert one(spark, parse_name_list(F.col("t")), t=str(names)[:-2]) is None
+
+
 def test_names_with_blanks_and_brackets(spark):
     df = spark.createDataFrame([(24,), (8,), (None,)], "`Local Data(GB)` long")
     cond = Condition("Local Data(GB)", ">=", 20)
