@@ -22,6 +22,7 @@ HEADLINE = (
     "ann_topk",
     "score_relevance",
     "chunk_static",
+    "chunk_sentences",
     "chunk_semantic",
     "chunk_guarded_doc",
     "chunk_guarded_batch",

@@ -15,6 +15,9 @@ from planmatch.functions.text import BLANKS, sentences, tokens
 from planmatch.functions.vectors import cosine
 from planmatch.operators.joins import join_back
 
+# Pieces of sentences whose chunks are gathered before they join those of the document.
+PIECES_AT_ONCE = 1_000
+
 
 def pin(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once per row.
@@ -49,6 +52,93 @@ def chunk_static(
     return _exploded(pinned, windows, [doc])
 
 
+def sentence_pieces(text: Column, size: int) -> Column:
+    """(n, words) of every sentence with a word, in order; a sentence of more than `size`
+    words comes in pieces of `size`."""
+    words = F.filter(F.transform(sentences(text), tokens), lambda w: F.size(w) > 0)
+    pieces = F.flatten(F.transform(words, lambda w: static_windows(w, size, 0)))
+    return F.transform(pieces, lambda w: F.struct(F.size(w).alias("n"), F.concat_ws(" ", w).alias("words")))
+
+
+def _filled(pieces: Column, size: int, overlap: int) -> Column:
+    """Chunks as arrays of pieces: each takes what fits, the next begins with the last
+    pieces of the one before.
+
+    One fold in order. The state is the open chunk and the closed ones of this stretch;
+    stretches of PIECES_AT_ONCE keep the list that a step appends to short.
+    """
+
+    def total(held: Column) -> Column:
+        return F.aggregate(held, F.lit(0), lambda a, p: a + p["n"])
+
+    def carried(held: Column, room: Column) -> Column:
+        """The longest end of `held` with at most `room` words."""
+        start = F.struct(F.lit(0).alias("pieces"), F.lit(0).alias("n"))
+        taken = F.aggregate(
+            F.reverse(held),
+            start,
+            # Once a piece does not fit, n is beyond the room for all before it.
+            lambda a, p: F.struct(
+                F.when(a["n"] + p["n"] <= room, a["pieces"] + 1).otherwise(a["pieces"]).alias("pieces"),
+                (a["n"] + p["n"]).alias("n"),
+            ),
+        )["pieces"]
+        return F.slice(held, F.size(held) - taken + 1, taken)
+
+    def step(state: Column, piece: Column) -> Column:
+        fits = total(state["held"]) + piece["n"] <= size
+        room = F.least(F.lit(overlap), size - piece["n"])
+        kept = F.when(fits, state["held"]).otherwise(carried(state["held"], room))
+        return F.struct(
+            F.when(fits, state["closed"]).otherwise(F.concat(state["closed"], F.array(state["held"]))).alias("closed"),
+            F.concat(kept, F.array(piece)).alias("held"),
+        )
+
+    def stretch(state: Column, pieces: Column) -> Column:
+        begin = F.struct(none_closed.alias("closed"), state["held"].alias("held"))
+        now = F.aggregate(pieces, begin, step)
+        return F.struct(
+            F.concat(state["closed"], F.array(now["closed"])).alias("closed"), now["held"].alias("held")
+        )
+
+    piece = "struct<n:int,words:string>"
+    none_closed = F.array().cast(f"array<array<{piece}>>")
+    begin = F.struct(
+        F.array().cast(f"array<array<array<{piece}>>>").alias("closed"), F.array().cast(f"array<{piece}>").alias("held")
+    )
+    stretches = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(pieces) / F.lit(PIECES_AT_ONCE)).cast("int")),
+        lambda i: F.slice(pieces, i * PIECES_AT_ONCE + 1, F.lit(PIECES_AT_ONCE)),
+    )
+    return F.aggregate(
+        stretches, begin, stretch, lambda s: F.concat(F.flatten(s["closed"]), F.array(s["held"]))
+    )
+
+
+def chunk_sentences(
+    docs: DataFrame, size: int = 512, overlap: int = 20, doc: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(doc, chunk_no, n_tokens, chunk_text): whole sentences up to `size` tokens.
+
+    A chunk begins with the last sentences of the one before, as many as have at most
+    `overlap` tokens together and leave room for the next sentence. Only a sentence of
+    more than `size` tokens is cut. A text without words is one empty chunk, a null text
+    has none; words are put together with single blanks.
+    """
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+    pinned = pin(docs.select(named(doc), named(text)), _pieces=sentence_pieces(named(text), size))
+    pinned = pin(pinned, _chunks=_filled(F.col("_pieces"), size, overlap))
+    chunks = F.transform(
+        "_chunks",
+        lambda c: F.struct(
+            F.aggregate(c, F.lit(0), lambda a, p: a + p["n"]).alias("n_tokens"),
+            F.array_join(F.transform(c, lambda p: p["words"]), " ").alias("chunk_text"),
+        ),
+    )
+    return _exploded(pinned, chunks, [doc])
+
+
 def jaccard_distances(groups: Column) -> Column:
     """1 - Jaccard of neighbouring word sets; two empty sets are alike."""
     sizes = _between_neighbours(

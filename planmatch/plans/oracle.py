@@ -134,6 +134,30 @@ def windows(words: str, size: int, overlap: int) -> str:
     )
 
 
+def filled(size: int, overlap: int) -> str:
+    """CTEs ending in `filled(doc_id, chunk_no, n_tokens, chunk_text)`: sentences found by the
+    running count of words, upto[i] of those before piece i, from one chunk's first to the next's."""
+    return f"""cut AS (SELECT doc_id, flatten(list_transform(list_filter(list_transform(
+        regexp_extract_all(text, '{SENTENCE}'), lambda s: {tokens("s")}), lambda w: len(w) > 0),
+        lambda w: {windows("w", size, 0)})) AS pieces FROM documents WHERE text IS NOT NULL),
+    ends AS (SELECT doc_id, unnest(range(1, len(pieces) + 1)) AS i, unnest(pieces) AS piece FROM cut),
+    sums AS (SELECT doc_id, list_prepend(0, list(upto ORDER BY i)) AS upto FROM (
+        SELECT doc_id, i, (sum(len(piece)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS upto FROM ends)
+        GROUP BY doc_id),
+    steps(doc_id, chunk_no, a, b) AS (
+        SELECT doc_id, 0::BIGINT, 1::BIGINT, len(list_filter(upto, lambda u: u <= {size}))::BIGINT - 1 FROM sums
+        UNION ALL
+        SELECT doc_id, chunk_no + 1, a, len(list_filter(upto, lambda u: u <= upto[a] + {size}))::BIGINT - 1 FROM (
+            SELECT doc_id, chunk_no, upto, list_min(list_filter(range(a, b + 2), lambda j:
+                upto[b + 1] - upto[j] <= {overlap} AND upto[b + 2] - upto[j] <= {size})) AS a
+            FROM steps JOIN sums USING (doc_id) WHERE b + 1 < len(upto))),
+    filled AS (
+        SELECT doc_id, chunk_no::INTEGER AS chunk_no, upto[b + 1] - upto[a] AS n_tokens, array_to_string(
+            list_transform(list_slice(pieces, a, b), lambda w: array_to_string(w, ' ')), ' ') AS chunk_text
+        FROM steps JOIN sums USING (doc_id) JOIN cut USING (doc_id)
+        UNION ALL SELECT doc_id, 0, 0, '' FROM cut WHERE len(pieces) = 0)"""
+
+
 def semantic(percentile: float) -> str:
     """CTEs ending in `semantic(doc_id, source, text, chunks)`, neighbours one each way."""
     return f"""
@@ -323,6 +347,8 @@ ORACLE: dict[str, str] = {
     "chunk_static": f"""WITH w AS (SELECT doc_id, {tokens("text")} AS words FROM documents),
         c AS (SELECT doc_id, {WINDOW_TEXTS.format(w=windows("words", 512, 20))} AS chunks FROM w)
         {chunk_rows("c", "chunks")}""",
+    "chunk_sentences": f"""WITH RECURSIVE {filled(100, 20)}
+        SELECT doc_id, chunk_no, n_tokens::INTEGER AS n_tokens, chunk_text FROM filled""",
     "chunk_semantic": f"WITH {semantic(95.0)} {chunk_rows('semantic', 'chunks')}",
     "chunk_guarded_doc": f"""WITH {semantic(95.0)},
         sized AS (SELECT *, list_max(list_transform(chunks, lambda c: len({tokens("c")}))) AS largest,

@@ -486,6 +486,11 @@ def chunk_static(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_static(_documents(spark, sf), 512, 20)
 
 
+@query
+def chunk_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunk_sentences(_documents(spark, sf), 100, 20)
+
+
 @query
 def chunk_semantic(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_semantic(_documents(spark, sf), 95.0, 1)

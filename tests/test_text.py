@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
 
@@ -155,6 +156,50 @@ def test_static_windows_cover_everything(spark):
         chunking.chunk_static(documents(spark, "x"), 3, 3)
 
 
+def expected_sentences(text, size, overlap):
+    pieces = []
+    for words in (p.split() for p in re.findall(SENTENCE, text)):
+        pieces += [words[i : i + size] for i in range(0, len(words), size)]
+    chunks, held = [], []
+    for piece in pieces:
+        if sum(map(len, held)) + len(piece) > size:
+            chunks.append(held)
+            room = min(overlap, size - len(piece))
+            while held and sum(map(len, held)) > room:
+                held = held[1:]
+        held = held + [piece]
+    return [" ".join(w for p in c for w in p) for c in [*chunks, held]]
+
+
+def test_sentences_fill_chunks(spark, monkeypatch):
+    random.seed(11)
+    texts = ["", " ... ", "one", "a b. " * 40, "word " * 57]
+    for _ in range(40):
+        lengths = [random.choice([0, 1, 2, 3, 5, 8, 25]) for _ in range(random.randint(1, 60))]
+        texts.append(" ".join(" ".join(f"w{random.randint(0, 99)}" for _ in range(n)) + "." for n in lengths))
+    for at_once, size, overlap in ((1_000, 10, 4), (3, 10, 0), (7, 12, 11)):
+        monkeypatch.setattr(chunking, "PIECES_AT_ONCE", at_once)
+        rows = chunking.chunk_sentences(documents(spark, *texts), size, overlap).collect()
+        got = {}
+        for r in sorted(rows, key=lambda r: (r["doc_id"], r["chunk_no"])):
+            assert r["n_tokens"] == len(r["chunk_text"].split()) <= size
+            got.setdefault(r["doc_id"], []).append(r["chunk_text"])
+        assert got == {i: expected_sentences(t, size, overlap) for i, t in enumerate(texts)}
+    assert chunking.chunk_sentences(documents(spark, "x").where("false")).count() == 0
+    assert chunking.chunk_sentences(documents(spark, "x", None)).count() == 1
+    with pytest.raises(ValueError):
+        chunking.chunk_sentences(documents(spark, "x"), 3, 3)
+
+
+def test_sentences_of_a_very_long_document(spark):
+    text = "".join(f"Sentence {i} about item{i % 97} here. " for i in range(60_000))
+    start = time.time()
+    got = chunking.chunk_sentences(documents(spark, text), 20, 5).agg(F.count("*"), F.max("n_tokens")).first()
+    # Four sentences of five words, the last of which comes again.
+    assert tuple(got) == (20_000, 20)
+    assert time.time() - start < 60
+
+
 def expected_semantic(text, percentile, buffer):
     parts = re.findall(SENTENCE, text)
     words = [set(p.lower().split()) for p in parts]
@@ -237,6 +282,6 @@ def test_one_very_long_document_stays_linear(spark):
 
 def test_chunking_never_moves_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for df in (chunking.chunk_semantic(docs), chunking.chunk_static(docs), chunking.chunk_guarded(docs, 200)):
+    for df in (chunking.chunk_semantic(docs), chunking.chunk_static(docs), chunking.chunk_sentences(docs), chunking.chunk_guarded(docs, 200)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan
