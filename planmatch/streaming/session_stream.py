@@ -21,10 +21,10 @@ from planmatch.operators.session_memory import MEMORY_SHARE
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT = "conv_id long, turn_no int, chat_length int, labels array<string>, weights array<double>"
-STATE = "chat_length int, labels array<string>, weights array<double>"
+STATE = "chat_length int, upcoming int, labels array<string>, weights array<double>"
 # Fixed value: the provider that keeps several states per key.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EARLY = "level int, labels array<string>, weights array<double>"
+EARLY = "level int, labels array<string>, weights array<double>, due long"
 
 
 def next_memory(
@@ -44,30 +44,53 @@ def next_memory(
 
 
 class SessionProcessor(StatefulProcessor):
+    def __init__(self, wait_ms: int | None = None):
+        self.wait_ms = wait_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.memory = handle.getValueState("memory", STATE)
         self.early = handle.getMapState("early", "turn_no int", EARLY)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        chat, stored = 0, {}
-        if self.memory.exists():
-            chat, labels, weights = self.memory.get()
-            stored = dict(zip(labels, weights))
+        upcoming = self.memory.get()[1] if self.memory.exists() else 0
+        now = timerValues.getCurrentProcessingTimeInMs() if self.wait_ms else 0
+        due = now + (self.wait_ms or 0)
         for batch in rows:
             for row in batch.itertuples(index=False):
-                # A turn that was already folded in came twice.
-                if row.turn_no >= chat:
-                    turn = (int(row.level), list(row.labels), [float(w) for w in row.weights])
-                    self.early.updateValue((int(row.turn_no),), turn)
+                number = (int(row.turn_no),)
+                # A turn that was already folded in, or waits, came twice; or it came too late.
+                if row.turn_no >= upcoming and not self.early.containsKey(number):
+                    weights = [float(w) for w in row.weights]
+                    self.early.updateValue(number, (int(row.level), list(row.labels), weights, due))
+        yield from self.fold_waiting(key, now)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self.fold_waiting(key, expiredTimerInfo.getExpiryTimeInMs())
+
+    def fold_waiting(self, key, now: int) -> Iterator[pd.DataFrame]:
+        """Fold in turns without a gap before them, and up to the last one that is overdue."""
+        chat, upcoming, stored = 0, 0, {}
+        if self.memory.exists():
+            chat, upcoming, labels, weights = self.memory.get()
+            stored = dict(zip(labels, weights))
+        waiting = {number[0]: turn for number, turn in self.early.iterator()}
+        overdue = -1
+        if self.wait_ms:
+            overdue = max((number for number, turn in waiting.items() if turn[3] <= now), default=-1)
         done = []
-        while self.early.containsKey((chat,)):
-            level, labels, weights = self.early.getValue((chat,))
-            self.early.removeKey((chat,))
+        for number in sorted(waiting):
+            if number > max(upcoming, overdue):
+                break
+            level, labels, weights, _ = waiting.pop(number)
+            self.early.removeKey((number,))
             stored = next_memory(chat, stored, dict(zip(labels, weights)), level)
-            chat += 1
-            done.append((key[0], chat - 1, chat, list(stored), list(stored.values())))
+            chat, upcoming = chat + 1, number + 1
+            done.append((key[0], number, chat, list(stored), list(stored.values())))
+        if waiting and self.wait_ms:
+            self.handle.registerTimer(min(turn[3] for turn in waiting.values()))
         if done:
-            self.memory.update((chat, list(stored), list(stored.values())))
+            self.memory.update((chat, upcoming, list(stored), list(stored.values())))
             columns = ["conv_id", "turn_no", "chat_length", "labels", "weights"]
             yield pd.DataFrame(done, columns=columns)
 
@@ -94,14 +117,20 @@ def turn_records(weights: DataFrame, levels: DataFrame) -> DataFrame:
     )
 
 
-def session_stream(turns: DataFrame) -> DataFrame:
+def session_stream(turns: DataFrame, wait_ms: int | None = None) -> DataFrame:
     """The state after every turn. `turns` is a stream of turn records, in any order;
-    needs the RocksDB state store provider."""
+    needs the RocksDB state store provider.
+
+    A turn waits for the turns before it. With `wait_ms` it does so for that many milliseconds:
+    then it is folded in over the gap, as the batch fold does with numbers that are missing,
+    and a turn of the gap that comes later is left out. Without, it waits for ever. Timers
+    go by the clock, so with `wait_ms` the query needs a trigger that keeps running.
+    """
     return turns.groupBy("conv_id").transformWithStateInPandas(
-        statefulProcessor=SessionProcessor(),
+        statefulProcessor=SessionProcessor(wait_ms),
         outputStructType=OUTPUT,
         outputMode="Update",
-        timeMode="None",
+        timeMode="ProcessingTime" if wait_ms else "None",
     )
 
 

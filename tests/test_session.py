@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from planmatch.operators import session_memory as memory
 from planmatch.plans import queries
 from planmatch.sources.storage import scratch_path
+from planmatch.streaming import session_stream as session_stream_module
 from planmatch.streaming.session_stream import session_stream, turn_records
 
 LABELS = ["a", "b", "c", "d", "e"]
@@ -146,3 +148,45 @@ def test_stream_equals_fold(spark, sf_dir):
         for r in memory.session_fold(weights, levels).collect()
     }
     assert got == folded
+
+
+def test_stream_goes_on_over_a_gap(spark):
+    turns = [(c, n, 1, ["a", f"x{n % 3}"], [0.5, 0.1 * n]) for c in (1, 2, 3) for n in (0, 1, 4, 5, 7)]
+    # Conversation 2 gets its missing turns in time, 3 never has a first turn.
+    turns = [t for t in turns if t[:2] != (3, 0)]
+    filled = [(2, n, 1, ["a", f"x{n % 3}"], [0.5, 0.1 * n]) for n in (2, 3, 6)]
+    schema = "conv_id long, turn_no int, level int, labels array<string>, weights array<double>"
+    path, checkpoint = scratch_path(spark, "turns"), scratch_path(spark, "stream")
+    spark.createDataFrame(turns, schema).coalesce(1).write.parquet(path)
+    spark.createDataFrame(filled, schema).coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", session_stream_module.ROCKSDB)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    running = (
+        session_stream(source, wait_ms=2_000)
+        .writeStream.format("memory")
+        .queryName("gap_states")
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    end = time.time() + 120
+    while time.time() < end and running.isActive and spark.table("gap_states").count() < len(turns + filled):
+        time.sleep(0.5)
+    running.stop()
+    got = {(r["conv_id"], r["turn_no"]): (r["chat_length"], dict(zip(r["labels"], r["weights"])))
+           for r in spark.table("gap_states").collect()}
+
+    every = spark.createDataFrame(turns + filled, schema)
+    levels = every.select("conv_id", "turn_no", "level")
+    weights = every.select("conv_id", "turn_no", F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("weights").alias("weight"))))
+    expected = {(r["conv_id"], r["turn_no"]): (r["chat_length"], {x["label"]: x["weight"] for x in r["items"]})
+                for r in memory.session_history(weights, levels).collect()}
+    assert got.keys() == expected.keys() and len(got) == len(turns + filled)
+    for turn, (chat, items) in expected.items():
+        assert got[turn][0] == chat and got[turn][1] == pytest.approx(items)
+    waiting = (
+        spark.read.format("statestore").option("path", checkpoint)
+        .option("stateVarName", "early").load()
+    )
+    assert waiting.count() == 0
