@@ -92,6 +92,7 @@ def result_envelope(answers: DataFrame) -> DataFrame:
     Expects request_id, query, sql, labels, stored_weights, final_query, plans
     (a struct of column maps, or null when nothing qualified) and error.
     """
+    # The keys of an answer, in its order.
     body = F.to_json(
         F.struct(
             F.col("query").alias("User query"),

@@ -22,6 +22,7 @@ def read_documents(spark: SparkSession, path: str, separator: str | None = None)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
+        # Fixed value: the text of this failure.
         message = f"Not a valid directory: {path}"
         return spark.range(1).select(
             F.lit(path).alias("path"),
