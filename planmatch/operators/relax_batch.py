@@ -184,32 +184,15 @@ def relax_batch(
     name few columns. Text columns named in `folded` are compared without regard to case,
     outer blanks and runs of blanks; answers show them as they are.
     """
-    if folded:
-        catalog = catalog.withColumns(
-            {**{f"_plain_{c}": named(c) for c in folded}, **{c: normalise_category(named(c)) for c in folded}}
-        )
-        plain = F.transform("values", normalise_category)
-        constraints = constraints.withColumn(
-            "values", F.when(F.col("col").isin(list(folded)), plain).otherwise(F.col("values"))
-        )
     joins = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
-    values = _condition_values(constraints)
-    axes, inline, table = _constants(values, catalog, inline_constants)
-    fuzzy = [a.name for a in axes if "~" in a.ops]
-    if fuzzy:
-        constraints = expand_close(catalog, constraints, fuzzy, joins)
-        values = _condition_values(materialise(constraints, "conditions"))
-        axes, inline, table = _constants(values, catalog, inline_constants)
-    cells, coded = _encode(catalog, values, axes, inline, table, joins)
-    profiles = materialise(_profiles(requests, coded, relevance, axes), "profiles")
-    levels, probes = _probes(profiles, axes)
-    # Which columns are constrained together: few rows, as there are few columns.
-    masks = [r["m"] for r in probes.select(_mask(axes, "w").alias("m")).distinct().collect()]
-    best_cells = _best_cells(cells, axes, key, price, payload, n, folded)
-    if any(sum(a.numeric and m >> a.index & 1 for a in axes) > LISTED_AXES for m in masks):
+    catalog, constraints = _fold(catalog, constraints, folded)
+    asked = _prepare(catalog, requests, constraints, relevance, inline_constants, joins)
+    axes, levels, probes, profiles = asked.axes, asked.levels, asked.probes, asked.profiles
+    best_cells = _best_cells(asked.cells, axes, key, price, payload, n, folded)
+    if asked.wide:
         hits = _walk(best_cells, probes, axes, n, probe_bytes)
     else:
-        hits = _search(_node_rows(best_cells, masks, axes, n), probes, axes, n)
+        hits = _search(_node_rows(best_cells, asked.masks, axes, n), probes, axes, n)
 
     found = join_back(levels, hits, ["probe"], ["sig", "level"], **joins).groupBy("sig").agg(
         F.max("n_sig").alias("n"),
@@ -225,14 +208,153 @@ def relax_batch(
     )
 
 
+def relax_levels(
+    catalog: DataFrame,
+    requests: DataFrame,
+    constraints: DataFrame,
+    relevance: DataFrame,
+    *,
+    folded: Sequence[str] = (),
+    inline_constants: int = INLINE_CONSTANTS,
+    broadcast_rows: int | None = None,
+    probe_bytes: int = PROBE_BYTES,
+) -> DataFrame:
+    """Per request `level`, `n_labels` and `is_empty`, as `relax_batch` finds them, without
+    rows: a node says only that something lies under it. A column bounded from one side
+    needs no nodes: what lies under a node is told by its least (or largest) value there.
+    Of the catalog nothing but the distinct constrained values is read on; it
+    needs neither key nor price. A request without conditions is empty only where the
+    catalog is."""
+    joins = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
+    catalog, constraints = _fold(catalog, constraints, folded)
+    asked = _prepare(catalog, requests, constraints, relevance, inline_constants, joins, bare=True)
+    axes = asked.axes
+    if asked.wide:
+        sources = [f"c{a.index}" for a in axes]
+        # Any order does where one cell is enough.
+        bare = asked.cells.select(*sources).distinct().withColumns(
+            {"_price": F.lit(0), "_key": F.xxhash64(*sources), "row": F.struct(F.lit(0).alias("some"))}
+        )
+        hits = _walk(bare, asked.probes, axes, 1, probe_bytes).select("probe", "n")
+    else:
+        hits = _met(asked)
+    hits = hits.withColumn("hit", F.lit(True))
+    found = join_back(asked.levels, hits, ["probe"], ["sig", "level"], **joins).groupBy("sig").agg(
+        F.max("n_sig").alias("n"), F.min(F.when(F.col("hit"), F.col("level"))).alias("level")
+    )
+    return join_back(asked.profiles, found, ["sig"], ["request_id"], **joins).select(
+        "request_id",
+        F.coalesce("level", "n_labels").alias("level"),
+        "n_labels",
+        F.col("level").isNull().alias("is_empty"),
+    )
+
+
+@dataclass
+class _Asked:
+    """A table of requests in terms of cells."""
+
+    axes: list[_Axis]
+    cells: DataFrame
+    profiles: DataFrame
+    levels: DataFrame
+    probes: DataFrame
+    masks: list[int]
+
+    @property
+    def wide(self) -> bool:
+        """Whether some probe constrains more numeric columns than cells are listed for."""
+        return any(
+            sum(a.numeric and m >> a.index & 1 for a in self.axes) > LISTED_AXES for m in self.masks
+        )
+
+
+def _met(asked: _Asked) -> DataFrame:
+    """(probe, n) of the probes that some cell meets."""
+    cells, axes = asked.cells, asked.axes
+    if not axes:
+        some = cells.limit(1).select(F.lit("{}").alias("probe"))
+        return asked.probes.select("probe", "n").join(F.broadcast(some), "probe")
+    one_sided = [a for a in axes if a.numeric and a.parity is not None]
+    bound = max(one_sided, key=lambda a: a.depth, default=None)
+    rest = [a for a in axes if a is not bound]
+    if bound is None:
+        best, end, good = F.lit(True), F.lit(True), F.lit(True)
+        outermost = F.first
+    else:
+        best, wish = F.col(f"c{bound.index}"), F.col(f"w{bound.index}")
+        upper = bound.parity == 0
+        outermost = F.min if upper else F.max
+        end = wish["hi"] if upper else wish["lo"]
+        reached = F.col("best") <= F.col("end") if upper else F.col("best") >= F.col("end")
+        good = F.col("end").isNull() | F.coalesce(reached, F.lit(False))
+    sources = [f"c{a.index}" for a in rest]
+    cells = cells.groupBy(*sources).agg(outermost(best).alias("best"), F.count(F.lit(1)).alias("_rows"))
+    # Without other columns there is a group even where the catalog is empty.
+    cells = cells.where(F.col("_rows") > 0).drop("_rows")
+    # Listing multiplies the cells: as many tasks as a full shuffle has.
+    cells = cells.repartition(explosion_tasks(cells), *sources) if sources else cells
+    masks = sorted({m & sum(1 << a.index for a in rest) for m in asked.masks})
+    nodes = _listed(cells, masks, rest).groupBy("node").agg(outermost("best").alias("best"))
+    met = _asked_nodes(asked.probes.withColumn("end", end), rest, ["end"]).join(nodes, "node")
+    return met.where(good).groupBy("probe").agg(F.first("n").alias("n"))
+
+
+def _fold(
+    catalog: DataFrame, constraints: DataFrame, folded: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Folded columns and constants; the columns as they are stay beside them."""
+    if not folded:
+        return catalog, constraints
+    catalog = catalog.withColumns(
+        {**{f"_plain_{c}": named(c) for c in folded}, **{c: normalise_category(named(c)) for c in folded}}
+    )
+    plain = F.transform("values", normalise_category)
+    return catalog, constraints.withColumn(
+        "values", F.when(F.col("col").isin(list(folded)), plain).otherwise(F.col("values"))
+    )
+
+
+def _prepare(
+    catalog: DataFrame,
+    requests: DataFrame,
+    constraints: DataFrame,
+    relevance: DataFrame,
+    inline_constants: int,
+    joins: dict,
+    bare: bool = False,
+) -> _Asked:
+    """`bare` leaves the constrained columns of the catalog only."""
+    values = _condition_values(constraints)
+    axes, inline, table = _constants(values, catalog, inline_constants)
+    fuzzy = [a.name for a in axes if "~" in a.ops]
+    if fuzzy:
+        constraints = expand_close(catalog, constraints, fuzzy, joins)
+        values = _condition_values(materialise(constraints, "conditions"))
+        axes, inline, table = _constants(values, catalog, inline_constants)
+    if bare and axes:
+        catalog = catalog.select(*[named(a.name) for a in axes])
+        if any(a.numeric and (a.own is not None or a.name not in inline) for a in axes):
+            # Equal rows would stay together however a hot value is spread.
+            catalog = catalog.distinct()
+    cells, coded = _encode(catalog, values, axes, inline, table, joins)
+    profiles = materialise(_profiles(requests, coded, relevance, axes), "profiles")
+    levels, probes = _probes(profiles, axes)
+    # Which columns are constrained together: few rows, as there are few columns.
+    masks = [r["m"] for r in probes.select(_mask(axes, "w").alias("m")).distinct().collect()]
+    return _Asked(axes, cells, profiles, levels, probes, masks)
+
+
 def batch_rows(answers: DataFrame) -> DataFrame:
     """One row per answer row, `pos` from 1; requests without rows do not appear."""
     return answers.select("request_id", "level", F.inline("rows"))
 
 
 def batch_levels(answers: DataFrame, relevance: DataFrame) -> DataFrame:
-    """Per request how many labels were given up, which, and whether nothing was left."""
-    reached = answers.select("request_id", "level", F.col("rows").isNull().alias("is_empty"))
+    """Per request how many labels were given up, which, and whether nothing was left, from
+    the answers of `relax_batch` or `relax_levels`."""
+    empty = F.col("is_empty") if "is_empty" in answers.columns else F.col("rows").isNull()
+    reached = answers.select("request_id", "level", empty.alias("is_empty"))
     dropped = (
         rank_relevance(relevance)
         .join(reached.select("request_id", "level"), "request_id")
@@ -596,8 +718,13 @@ def _by_price() -> list[Column]:
 
 
 def _node_rows(kept: DataFrame, masks: list[int], axes: list[_Axis], n: int) -> DataFrame:
-    """The best `n` catalog rows under every node, for the column sets that are asked for:
-    a cell is listed once per mask, under nodes of that mask's columns only."""
+    """The best `n` catalog rows under every node."""
+    return _best(_listed(kept, masks, axes), ["node"], _by_price(), n)
+
+
+def _listed(kept: DataFrame, masks: list[int], axes: list[_Axis]) -> DataFrame:
+    """Cells under their nodes, for the column sets that are asked for: a cell is listed
+    once per mask, under nodes of that mask's columns only."""
     missing = reduce(
         lambda x, y: x + y,
         [F.when(F.col(f"c{a.index}").isNull(), F.lit(1 << a.index)).otherwise(0) for a in axes],
@@ -621,9 +748,7 @@ def _node_rows(kept: DataFrame, masks: list[int], axes: list[_Axis], n: int) ->
         used = F.col("mask").bitwiseAND(F.lit(1 << a.index).cast("long")) != 0
         kept = kept.withColumn(a.key, F.explode(F.when(used, nodes).otherwise(none)))
         kept = kept.drop(f"c{a.index}")
-    keys = [a.key for a in axes]
-    listed = kept.withColumn("node", _node(axes)).drop("mask", *keys)
-    return _best(listed, ["node"], _by_price(), n)
+    return kept.withColumn("node", _node(axes)).drop("mask", *[a.key for a in axes])
 
 
 def _walk(
@@ -683,7 +808,12 @@ def _best(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFram
 
 def _search(nodes: DataFrame, probes: DataFrame, axes: list[_Axis], n: int) -> DataFrame:
     """(probe, n, rows): node keys of each probe met with the node table."""
-    asked = probes.select("probe", "n", *[f"w{a.index}" for a in axes])
+    return _top_rows(_asked_nodes(probes, axes).join(nodes, "node"), n)
+
+
+def _asked_nodes(probes: DataFrame, axes: list[_Axis], keep: Sequence[str] = ()) -> DataFrame:
+    """(probe, n, node): the nodes that make up each probe."""
+    asked = probes.select("probe", "n", *keep, *[f"w{a.index}" for a in axes])
     asked = asked.repartition(explosion_tasks(probes), "probe")
     for a in axes:
         wish = F.col(f"w{a.index}")
@@ -701,8 +831,7 @@ def _search(nodes: DataFrame, probes: DataFrame, axes: list[_Axis], n: int) -> D
             none = F.array(F.lit(None).cast("string"))
         keys = F.when(wish.isNull(), none).otherwise(keys)
         asked = asked.withColumn(a.key, F.explode(keys)).drop(f"w{a.index}")
-    keys = [a.key for a in axes]
-    return _top_rows(asked.withColumn("node", _node(axes)).drop(*keys).join(nodes, "node"), n)
+    return asked.withColumn("node", _node(axes)).drop(*[a.key for a in axes])
 
 
 def _top_rows(met: DataFrame, n: int) -> DataFrame:

@@ -382,21 +382,31 @@ def relax_batch_folded(spark: SparkSession, sf: str) -> DataFrame:
     return relax_batch.batch_rows(answers)
 
 
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    customer = table(spark, sf, "customer")
+    return relax_batch.relax_levels(
+        inputs.catalog(spark, sf),
+        inputs.requests(customer),
+        inputs.constraints(customer),
+        inputs.relevance(customer),
+    )
+
+
 @query
 def relax_level(spark: SparkSession, sf: str) -> DataFrame:
     relevance = inputs.relevance(table(spark, sf, "customer"))
-    return relax_batch.batch_levels(_relaxed(spark, sf), relevance).drop("is_empty")
+    return relax_batch.batch_levels(_levels(spark, sf), relevance).drop("is_empty")
 
 
 @query
 def is_empty(spark: SparkSession, sf: str) -> DataFrame:
-    return _relaxed(spark, sf).select("request_id", F.col("rows").isNull().alias("is_empty"))
+    return _levels(spark, sf).select("request_id", "is_empty")
 
 
 def _kept(spark: SparkSession, sf: str) -> DataFrame:
     """Conditions left at the level that each request reached."""
     customer = table(spark, sf, "customer")
-    dropped = relax_batch.dropped_columns(inputs.relevance(customer), _relaxed(spark, sf))
+    dropped = relax_batch.dropped_columns(inputs.relevance(customer), _levels(spark, sf))
     return relax_batch.drop_conditions(inputs.constraints(customer), dropped)
 
 

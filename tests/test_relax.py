@@ -165,6 +165,63 @@ def test_batch_equals_loop(spark, world, options):
     assert any(not keys for _, keys in wanted.values())
 
 
+def one_sided(request):
+    """Only bounds from one side, another one for each of the two numeric columns."""
+    conds, labels = request
+    sided = {"size": "<=", "price": ">"}
+    return [
+        Condition(c.column, sided[c.column], c.value[0] if isinstance(c.value, tuple) else c.value)
+        if c.column in sided and c.value != ()
+        else c
+        for c in conds
+        if c.column not in sided or c.value != ()
+    ], labels
+
+
+LEVELS_BY = {
+    "listed": {},
+    "ranked": {"inline_constants": 2, "broadcast_rows": 0},
+    "walked": {"probe_bytes": 3000},
+    "one-sided": {},
+}
+
+
+@pytest.mark.parametrize("how", LEVELS_BY)
+def test_levels_without_rows_equal_loop(spark, world, monkeypatch, how):
+    if how == "walked":
+        monkeypatch.setattr(rb, "LISTED_AXES", 0)
+    rows, requests = world
+    if how == "one-sided":
+        requests = [one_sided(r) for r in requests]
+    # A hot row many times over, and neither key nor price among the columns.
+    catalog = spark.createDataFrame(rows + rows[:1] * 500, SCHEMA).drop("key")
+    got = rb.relax_levels(catalog, *batch_frames(spark, requests), **LEVELS_BY[how])
+    wanted = {}
+    for i, (conds, labels) in enumerate(requests):
+        steps, found = literal_loop(rows, conds, labels)
+        wanted[i] = (steps, not found)
+    assert {r["request_id"]: (r["level"], r["is_empty"]) for r in got.collect()} == wanted
+
+
+def test_levels_without_catalog_conditions_or_requests(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    some = spark.createDataFrame([(1, "b", None, None, 2.0)], SCHEMA)
+    free = batch_frames(spark, [([], ["brand"])])
+    asked = batch_frames(spark, [([Condition("brand", "=", "b")], ["brand"])])
+
+    def levels(catalog, frames):
+        return [(r["level"], r["is_empty"]) for r in rb.relax_levels(catalog, *frames).orderBy("request_id").collect()]
+
+    assert levels(none, free) == [(1, True)] and levels(some, free) == [(0, False)]
+    assert levels(none, asked) == [(1, True)] and levels(some, asked) == [(0, False)]
+    assert levels(some, [f.limit(0) for f in asked]) == []
+    # One column, bounded from one side, whose conditions are given up.
+    bounded = batch_frames(spark, [([Condition("size", "<=", 3)], ["size"]), ([Condition("price", ">", 2)], [])])
+    assert levels(none, bounded) == [(1, True), (0, True)] and levels(some, bounded) == [(1, False), (0, True)]
+    sided = batch_frames(spark, [([Condition("price", ">=", 2)], []), ([Condition("price", ">", 2)], ["price"])])
+    assert levels(some, sided) == [(0, False), (1, False)] and levels(none, sided) == [(0, True), (1, True)]
+
+
 @pytest.mark.parametrize("probe_bytes", [300, 2_000_000])
 def test_comparing_cells_with_probes_equals_loop(spark, world, monkeypatch, probe_bytes):
     monkeypatch.setattr(rb, "LISTED_AXES", 0)
