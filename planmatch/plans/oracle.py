@@ -365,6 +365,8 @@ ORACLE: dict[str, str] = {
         {chunk_rows("chosen", "chunks")}""",
     "cosine_topk": f"WITH {NEAREST} SELECT vec_id, label, round(score, 6) AS score, rank FROM nearest",
     "ann_recall": f"WITH {NEAREST} SELECT label, count(*) AS n_found, true AS reached FROM nearest GROUP BY label",
+    "index_recall": """SELECT 10 * count(*) AS n_found, true AS reached
+        FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL""",
     "assemble_context": f"""WITH {NEAREST},
         context AS (SELECT label, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY rank) AS context
             FROM nearest LEFT JOIN documents ON vec_id = doc_id GROUP BY label)

@@ -16,7 +16,7 @@ from planmatch.functions.predicates import (
     limited,
     normalise_category,
 )
-from planmatch.operators import chunking, relax_batch, retrieval, shaping
+from planmatch.operators import chunking, relax_batch, retrieval, shaping, vector_index
 from planmatch.operators import session_memory as memory
 from planmatch.operators.relax import relax_single
 from planmatch.plans import inputs, workload
@@ -570,6 +570,26 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth vector asks an inverted file of all: rows found, and whether they
+    are nine tenths of the exact ones."""
+    vectors = table(spark, sf, "embeddings")
+    asked = vectors.where(F.col("vec_id") % 20 == 0).select(
+        F.col("vec_id").alias("asked_id"), F.col("embedding").alias("asked")
+    )
+    index = vector_index.build_index(vectors, "vec_id", "embedding", k=10)
+    near = vector_index.search_index(index, asked, 10, "asked_id", "asked")
+    exact = retrieval.cosine_topk(vectors, asked, 10, "vec_id", "embedding", "asked_id", "asked")
+    both = exact.select("asked_id", "vec_id", F.lit(1).alias("wanted")).join(
+        near.select("asked_id", "vec_id", F.lit(1).alias("found")), ["asked_id", "vec_id"], "full"
+    )
+    return both.agg(
+        F.count("found").alias("n_found"),
+        (10 * F.count(F.when(F.col("wanted").isNotNull(), F.col("found"))) >= 9 * F.count("wanted")).alias("reached"),
+    )
+
+
 @query
 def assemble_context(spark: SparkSession, sf: str) -> DataFrame:
     """A question per label; the text of a vector is the document of the same number."""
