@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -22,6 +23,10 @@ from planmatch.sources.storage import materialise
 
 # Question vectors that travel with one pass over the base.
 QUESTION_BYTES = 16_000_000
+# Numbers (vector elements, or cosines) that a task works on at once.
+TILE = 1 << 20
+# Stands for a missing cosine, below all others.
+MISSING = -2.0
 
 
 def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
@@ -35,18 +40,14 @@ def centroids(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return means.groupBy(named(label)).agg(F.transform(ordered, lambda s: s["x"]).alias(vector))
 
 
-Scorer = Callable[[pa.RecordBatch], np.ndarray]
-
-
-def _scorers(
+def _questions(
     questions: DataFrame, key: str, vector: str, question_bytes: int
-) -> Iterator[tuple[list, Scorer]]:
-    """Question keys in blocks of bounded bytes, each with a function from a batch (key,
-    vector) to its cosines with every question of the block: one matrix product.
+) -> Iterator[tuple[list, np.ndarray]]:
+    """Question keys in blocks of bounded bytes, each with its unit vectors, a row per
+    question.
 
     A block holds vectors of one length. Questions without vector, or with a missing
-    element, are left out. A base vector of another length, with a missing element or of
-    zeros only has no cosine.
+    element, are left out.
     """
     asked = materialise(
         questions.select(named(key).alias("key"), named(vector).cast("array<double>").alias("vector")).where(
@@ -61,34 +62,117 @@ def _scorers(
         for i in range(blocks):
             rows = asked.where((F.size("vector") == size) & (block == i)).collect()
             if rows:
-                yield [r[0] for r in rows], _scorer(np.array([r[1] for r in rows], "float64").T, size)
+                with np.errstate(invalid="ignore"):
+                    own = np.array([r[1] for r in rows], "float64").reshape(len(rows), size)
+                    yield [r[0] for r in rows], own / np.linalg.norm(own, axis=1)[:, None]
 
 
-def _scorer(asked: np.ndarray, size: int) -> Scorer:
-    with np.errstate(invalid="ignore"):
-        asked = asked / np.linalg.norm(asked, axis=0)
+def tiles(rows: int, width: int) -> Iterator[slice]:
+    """`rows` in slices that make about TILE numbers with `width` to a row."""
+    step = max(1, TILE // max(width, 1))
+    return (slice(at, min(at + step, rows)) for at in range(0, rows, step))
 
-    def cosines(batch: pa.RecordBatch) -> np.ndarray:
-        column = batch.column(1)
-        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-        fits = lengths == size
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-        own = np.full((batch.num_rows, size), np.nan)
-        own[fits] = flat[np.repeat(fits, lengths)].reshape(-1, size)
-        length = np.linalg.norm(own, axis=1)
-        # A vector of zeros points nowhere: its cosine is missing.
-        length[length == 0] = np.nan
-        return own @ asked / length[:, None]
 
-    return cosines
+def _cut(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(t.start, t.stop - t.start) for t in tiles(batch.num_rows, size))
 
 
-def _each_block(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
-    """The blocks' results together; more than one are written first, so that no task
-    holds more than one block of questions."""
-    if len(parts) == 1:
-        return parts[0]
-    return reduce(DataFrame.unionByName, [materialise(p, "scores") for p in parts], empty)
+def _units(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    """Vectors of a batch (key, vector) at length one. One of another length, with a missing
+    element or of zeros only points nowhere and has missing elements."""
+    column = batch.column(1)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    fits = lengths == size
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    own = np.full((batch.num_rows, size), np.nan)
+    own[fits] = flat[np.repeat(fits, lengths)].reshape(int(fits.sum()), size)
+    length = np.linalg.norm(own, axis=1)
+    length[length == 0] = np.nan
+    with np.errstate(invalid="ignore"):
+        return own / length[:, None]
+
+
+class NearestRows:
+    """The best `k` rows that a task has met for every question: by falling score (9
+    decimals), ties by key, missing scores last. Cosines are made and dropped in tiles, so
+    what is held is `k` rows per question and one tile."""
+
+    def __init__(self, asked: np.ndarray, k: int, kind: pa.DataType):
+        self.asked, self.k = asked, k
+        self.order = np.full((len(asked), k), -np.inf)  # a free place
+        self.score = np.full((len(asked), k), MISSING)
+        self.row = np.full((len(asked), k), -1)
+        self.keys = pa.array([], kind)  # of the rows that are held
+
+    def meet(self, batch: pa.RecordBatch, groups: Callable = lambda batch: [(None, None)]) -> None:
+        """`groups` gives places of rows with the numbers of the questions that they answer;
+        None is all of them. It sees the batch in order of keys."""
+        batch = batch.take(pc.array_sort_indices(batch.column(0), null_placement="at_start"))
+        pool = pa.concat_arrays([self.keys, batch.column(0).cast(self.keys.type)])
+        rank = np.empty(len(pool), np.int64)
+        by_key = pc.array_sort_indices(pool, null_placement="at_start").to_numpy()
+        rank[by_key] = np.arange(len(pool))
+        own, held = _units(batch, self.asked.shape[1]), len(self.keys)
+        for at, who in groups(batch):
+            at = np.arange(len(own)) if at is None else at
+            who = np.arange(len(self.asked)) if who is None else who
+            mine = own[at].T
+            for tile in tiles(len(who), len(at)):
+                self._merge(who[tile], self.asked[who[tile]] @ mine, held + at, rank)
+        used, row = np.unique(self.row, return_inverse=True)
+        free = int(len(used) > 0 and used[0] < 0)
+        self.row = row.reshape(self.row.shape) - free
+        self.keys = pool.take(pa.array(used[free:]))
+
+    def _merge(self, who: np.ndarray, scores: np.ndarray, rows: np.ndarray, rank: np.ndarray) -> None:
+        k = self.k
+        scores[np.isnan(scores)] = MISSING
+        # What may be among the best: no lower than the last that is held, but for rounding.
+        may = scores >= (self.order[who, k - 1] - 1e-9)[:, None]
+        many = np.flatnonzero(may.sum(axis=1) > k)
+        if len(many):
+            order = np.round(scores[many], 9)
+            last = np.partition(order, order.shape[1] - k, axis=1)[:, -k, None]
+            above, ties = order > last, order == last
+            # Rows are in order of keys: of those that tie with the k-th the first stay.
+            room = k - above.sum(axis=1, keepdims=True)
+            may[many] = above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= room))
+        q, at = np.nonzero(may)
+        if not len(q):
+            return
+        some, q = np.unique(q, return_inverse=True)
+        number, who = np.repeat(np.arange(len(some)), k), who[some]
+        score = scores[some[q], at]
+        question = np.concatenate([number, q])
+        order = np.concatenate([self.order[who].ravel(), np.round(score, 9)])
+        row = np.concatenate([self.row[who].ravel(), rows[at]])
+        score = np.concatenate([self.score[who].ravel(), score])
+        best = np.lexsort((rank[row], -order, question))
+        # Every question has `k` places or more, one after another.
+        first = np.searchsorted(question[best], np.arange(len(some)))
+        best = best[first[:, None] + np.arange(k)]
+        self.order[who], self.row[who], self.score[who] = order[best], row[best], score[best]
+
+    def found(self, keys: list, arrow: pa.Schema) -> pa.RecordBatch:
+        """(key, question key, score) of what is held."""
+        q, place = np.nonzero(self.row >= 0)
+        score = self.score[q, place]
+        columns = [
+            self.keys.take(pa.array(self.row[q, place])),
+            pa.array(keys, arrow.types[1]).take(pa.array(q)),
+            pa.array(score, mask=score == MISSING),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+
+def _each_block(parts: Iterator[DataFrame], empty: DataFrame) -> DataFrame:
+    """The blocks' results together; more than one are written one after another, so that
+    no task holds more than one block of questions and the driver two."""
+    parts = iter(parts)
+    first, second = next(parts, None), next(parts, None)
+    if second is None:
+        return empty if first is None else first
+    return reduce(DataFrame.unionByName, [materialise(p, "scores") for p in chain([first, second], parts)])
 
 
 def _score_schema(
@@ -121,22 +205,28 @@ def score_all(
     schema = _score_schema(base, questions, base_key, question_key)
     arrow = to_arrow_schema(schema)
     vectors = _vectors(base, base_key, base_vector)
-    parts = [
-        vectors.mapInArrow(_score_block(keys, cosines, arrow), schema)
-        for keys, cosines in _scorers(questions, question_key, question_vector, question_bytes)
-    ]
+    parts = (
+        vectors.mapInArrow(_score_block(keys, asked, arrow), schema)
+        for keys, asked in _questions(questions, question_key, question_vector, question_bytes)
+    )
     return _each_block(parts, base.sparkSession.createDataFrame([], schema))
 
 
-def _score_block(keys: list, cosines: Scorer, arrow: pa.Schema) -> Callable:
+def _score_block(keys: list, asked: np.ndarray, arrow: pa.Schema) -> Callable:
+    size = asked.shape[1]
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = cosines(batch)
-            rows, width = scores.shape
-            own = batch.column(0).take(pa.array(np.repeat(np.arange(rows), width)))
-            asked = pa.array(keys, arrow.types[1]).take(pa.array(np.tile(np.arange(width), rows)))
-            score = pa.array(scores.ravel(), from_pandas=True)
-            yield pa.RecordBatch.from_arrays([own, asked, score], schema=arrow)
+        names = pa.array(keys, arrow.types[1])
+        for batch in (cut for whole in batches for cut in _cut(whole, max(size, len(asked)))):
+            units = _units(batch, size)
+            rows = batch.num_rows
+            for tile in tiles(len(asked), rows):
+                scores = units @ asked[tile].T
+                width = scores.shape[1]
+                own = batch.column(0).take(pa.array(np.repeat(np.arange(rows), width)))
+                whom = names.slice(tile.start, width).take(pa.array(np.tile(np.arange(width), rows)))
+                score = pa.array(scores.ravel(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([own, whom, score], schema=arrow)
 
     return score
 
@@ -166,41 +256,21 @@ def cosine_topk(
     schema = _score_schema(base, questions, base_key, question_key)
     arrow = to_arrow_schema(schema)
     vectors = _vectors(base, base_key, base_vector)
-    parts = [
-        vectors.mapInArrow(_nearest_block(keys, cosines, arrow, k), schema)
-        for keys, cosines in _scorers(questions, question_key, question_vector, question_bytes)
-    ]
-    near = _each_block(parts, base.sparkSession.createDataFrame([], schema))
+    near = (
+        vectors.mapInArrow(_nearest_block(keys, asked, arrow, k), schema)
+        for keys, asked in _questions(questions, question_key, question_vector, question_bytes)
+    )
+    near = _each_block(near, base.sparkSession.createDataFrame([], schema))
     return best_per_question(near, question_key, base_key, k)
 
 
-def _nearest_block(keys: list, cosines: Scorer, arrow: pa.Schema, k: int) -> Callable:
+def _nearest_block(keys: list, asked: np.ndarray, arrow: pa.Schema, k: int) -> Callable:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
+        best = NearestRows(asked, k, arrow.types[0])
         for batch in batches:
-            scores = cosines(batch)
-            order = np.nan_to_num(np.round(scores, 9), nan=-2.0)
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [] if best is None else [best]
-            for j in range(scores.shape[1]):
-                column = order[:, j]
-                last = max(len(column) - k, 0)
-                # Ties with the k-th stay in: the key decides between them.
-                chosen = np.flatnonzero(column >= np.partition(column, last)[last])
-                found.append(
-                    pd.DataFrame(
-                        {"q": j, "order": column[chosen], "key": own[chosen], "score": scores[chosen, j]}
-                    )
-                )
-            best = pd.concat(found).sort_values(["q", "order", "key"], ascending=[True, False, True])
-            best = best.groupby("q").head(k)
-        if best is not None:
-            columns = [
-                pa.array(best["key"], arrow.types[0]),
-                pa.array(keys, arrow.types[1]).take(pa.array(best["q"])),
-                pa.array(best["score"], from_pandas=True),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for cut in _cut(batch, asked.shape[1]):
+                best.meet(cut)
+        yield best.found(keys, arrow)
 
     return nearest
 

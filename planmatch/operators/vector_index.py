@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -25,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from planmatch.functions.predicates import named
-from planmatch.operators.retrieval import QUESTION_BYTES, best_per_question, cosine_topk
+from planmatch.operators.retrieval import QUESTION_BYTES, NearestRows, best_per_question, cosine_topk, tiles
 from planmatch.sources.storage import materialise, scratch_path
 
 # Rows that the centroids are fitted on, and vectors whose neighbours are found exactly.
@@ -153,7 +152,8 @@ def _write(own: DataFrame, size: int, centroids: np.ndarray, path: str) -> None:
             if fits.any():
                 have = batch.column(1).filter(pa.array(fits))
                 have = have.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-                cell[fits] = np.argmax(have @ centroids.T, axis=1)
+                near = [np.argmax(have[t] @ centroids.T, axis=1) for t in tiles(len(have), len(centroids))]
+                cell[fits] = np.concatenate(near)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell)], schema=arrow)
 
     found = placed.mapInArrow(place, schema)
@@ -201,7 +201,8 @@ def search_index(
     asked = asked.where(F.col("asked").isNotNull() & ~F.exists("asked", lambda x: x.isNull()))
     # The other questions are answered by all rows; of them only the key is needed here.
     short = asked.select("q", F.when(_usable(F.col("asked"), size), F.col("asked")).alias("asked"))
-    most = max(1, question_bytes // (8 * max(size, 1)))
+    # A question travels with its vector and a bit per cell.
+    most = max(1, question_bytes // (8 * max(size, 1) + len(index.centroids) // 8 + 1))
     first = short.limit(most + 1).collect()
     if len(first) <= most:
         return _search_block(index, asked, first, k, question_key, questions, question_bytes)
@@ -239,16 +240,16 @@ def _search_block(
     if fit:
         vectors = np.array([r[1] for r in fit], "float64")
         vectors /= np.linalg.norm(vectors, axis=1)[:, None]
-        nearest = np.argsort(-(vectors @ index.centroids.T), axis=1, kind="stable")[:, : index.visits]
         # The rows of a cell are known, so it is known who will find too few.
-        enough = index.held[nearest].sum(axis=1) >= k
+        visits, met = _visited(index, vectors)
+        enough = met >= k
         lacking += [r[0] for r, e in zip(fit, enough) if not e]
-        fit, vectors, nearest = [r for r, e in zip(fit, enough) if e], vectors[enough], nearest[enough]
+        fit, vectors, visits = [r for r, e in zip(fit, enough) if e], vectors[enough], visits[enough]
     if fit:
-        visitors = {int(c): np.flatnonzero((nearest == c).any(axis=1)) for c in np.unique(nearest)}
-        visited = rows.where(F.col("cell").isin(sorted(visitors))).select("key", "vector", "cell")
+        cells = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(visits, axis=0))).tolist()
+        visited = rows.where(F.col("cell").isin(cells)).select("key", "vector", "cell")
         near = visited.mapInArrow(
-            _nearest_in_cells([r[0] for r in fit], vectors, visitors, schema, k), schema
+            _nearest_in_cells([r[0] for r in fit], vectors, visits, schema, k), schema
         )
     near = best_per_question(near, question_key, index.key, k).withColumn("exact", F.lit(False))
     if not lacking:
@@ -261,44 +262,40 @@ def _search_block(
     return near.unionByName(rest.withColumn("exact", F.lit(True)))
 
 
+def _visited(index: VectorIndex, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every question a bit per cell, set for the `visits` nearest (of equally near ones
+    the first), and the number of rows that they hold."""
+    cells, most = len(index.centroids), min(index.visits, len(index.centroids))
+    bits, met = [], []
+    for t in tiles(len(vectors), cells):
+        near = vectors[t] @ index.centroids.T
+        last = np.partition(near, cells - most, axis=1)[:, cells - most, None]
+        above, ties = near > last, near == last
+        room = most - above.sum(axis=1, keepdims=True)
+        visited = above | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= room))
+        bits.append(np.packbits(visited, axis=1))
+        met.append(visited @ index.held)
+    return np.concatenate(bits), np.concatenate(met)
+
+
 def _nearest_in_cells(
-    keys: list, asked: np.ndarray, visitors: dict[int, np.ndarray], schema: T.StructType, k: int
+    keys: list, asked: np.ndarray, visits: np.ndarray, schema: T.StructType, k: int
 ) -> Callable:
-    """Best `k` rows of a task for every question, out of the cells that it visits."""
+    """Best `k` rows of a task for every question, out of the cells whose bits it has set."""
     arrow = to_arrow_schema(schema)
-    size = asked.shape[1]
+
+    def groups(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cell = batch.column(2).to_numpy(zero_copy_only=False)
+        for c in np.unique(cell):
+            who = np.flatnonzero(visits[:, c >> 3] & (128 >> (c & 7)))
+            at = np.flatnonzero(cell == c)
+            yield from ((at[t], who) for t in tiles(len(at), 1))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
+        best = NearestRows(asked, k, arrow.types[0])
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            have = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-            have = have / np.linalg.norm(have, axis=1)[:, None]
-            cell = batch.column(2).to_numpy(zero_copy_only=False)
-            found = [] if best is None else [best]
-            for c in np.unique(cell):
-                at, who = np.flatnonzero(cell == c), visitors[int(c)]
-                scores = have[at] @ asked[who].T
-                order = np.round(scores, 9)
-                last = max(len(at) - k, 0)
-                # Ties with the k-th stay in: the key decides between them.
-                least = np.partition(order, last, axis=0)[last]
-                i, j = np.nonzero(order >= least)
-                found.append(
-                    pd.DataFrame({"q": who[j], "order": order[i, j], "key": own[at[i]], "score": scores[i, j]})
-                )
-            best = pd.concat(found).sort_values(["q", "order", "key"], ascending=[True, False, True])
-            best = best.groupby("q").head(k)
-        if best is not None:
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(best["key"], arrow.types[0]),
-                    pa.array(keys, arrow.types[1]).take(pa.array(best["q"])),
-                    pa.array(best["score"]),
-                ],
-                schema=arrow,
-            )
+            for t in tiles(batch.num_rows, asked.shape[1]):
+                best.meet(batch.slice(t.start, t.stop - t.start), groups)
+        yield best.found(keys, arrow)
 
     return nearest

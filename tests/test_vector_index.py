@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 
 from planmatch.operators import retrieval, vector_index
 
@@ -80,3 +85,60 @@ def test_empty_base_and_no_questions(spark):
     full = vector_index.build_index(spark.createDataFrame([(1, [1.0, 2.0])], SCHEMA), "id", "v")
     assert vector_index.search_index(full, asked.limit(0), 3, "name", "v").collect() == []
     assert [r["id"] for r in vector_index.search_index(full, asked, 1, "name", "v").collect()] == [1]
+
+
+def test_tasks_hold_a_tile_of_cosines_not_rows_times_questions(spark, monkeypatch):
+    """8000 rows of a batch times 4000 questions would be 256 MB, and several times that."""
+    rng = np.random.default_rng(5)
+    base = spark.createDataFrame(vectors(300), SCHEMA)
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(rng.normal(size=(4000, 5)))], ASKED)
+    index = vector_index.build_index(base, "id", "v", k=5)
+    index.visits = len(index.centroids)
+    tasks, run = [], type(base).mapInArrow
+    monkeypatch.setattr(type(base), "mapInArrow", lambda df, f, schema: (tasks.append(f), run(df, f, schema))[1])
+    retrieval.cosine_topk(base, asked, 5, "id", "v", "name", "v")
+    vector_index.search_index(index, asked, 5, "name", "v")
+    retrieval.score_all(base, asked, "id", "v", "name", "v")
+    assert len(tasks) == 3
+    own = rng.normal(size=(8000, 5)).tolist()
+    # Equal rows tie with the k-th; they may not be held either.
+    own[:4000] = [own[0]] * 4000
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(8000)), pa.array(own), pa.array(np.arange(8000, dtype="int32") % len(index.centroids))],
+        names=["key", "vector", "cell"],
+    )
+    for task, rows in zip(tasks, (20_000, 20_000, None)):
+        tracemalloc.start()
+        made = sum(b.num_rows for b in (task(iter([batch])) if rows else itertools.islice(task(iter([batch])), 1)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 150e6 and (rows is None or made == rows)
+
+
+def test_nearest_rows_of_tiles_and_batches_are_those_of_all_at_once(monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 40)
+    rng = np.random.default_rng(9)
+    asked = rng.integers(-1, 2, size=(13, 3)).astype("float64")
+    asked[0] = np.nan
+    asked[1:] += 0.5
+    asked /= np.linalg.norm(asked, axis=1)[:, None]
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(300), rng.integers(-1, 2, size=(300, 3)).astype("float64"))]
+    rows += [(None, [1.0, 0.0, 0.0]), (300, [1.0]), (301, [1.0, None, 0.0]), (302, [float("nan"), 1.0, 0.0])]
+    best = retrieval.NearestRows(asked, 4, pa.int64())
+    for at in range(0, len(rows), 37):
+        part = rows[at : at + 37]
+        best.meet(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.int64(), pa.list_(pa.float64())))], names=["key", "vector"]))
+    schema = pa.schema([("key", pa.int64()), ("q", pa.int64()), ("score", pa.float64())])
+    got = best.found(list(range(13)), schema).to_pylist()
+
+    def cosine(q, v):
+        own = np.array(v, "float64")
+        length = np.linalg.norm(own) if len(own) == 3 else 0
+        return None if not length > 0 or np.isnan(q).any() else round(float(own @ q / length), 9)
+
+    for q in range(13):
+        scored = [(cosine(asked[q], v), key) for key, v in rows]
+        wanted = sorted(scored, key=lambda s: (s[0] is None, -(s[0] or 0), s[1] is not None, s[1] or 0))[:4]
+        mine = [(None if r["score"] is None else round(r["score"], 9), r["key"]) for r in got if r["q"] == q]
+        assert [k for _, k in mine] == [k for _, k in wanted]
+        assert all(a == b or abs(a - b) < 2e-9 for (a, _), (b, _) in zip(mine, wanted))
